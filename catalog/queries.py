@@ -319,7 +319,10 @@ def refseq_counts(t: Lens) -> DataFrame:
 
 def _refgene_counts(t: Lens) -> DataFrame:
     keys = ["name", "chrom", "strand", "tx_start", "tx_end", "citations"]
-    return refgene.refgene_counts(_positions(t), t.gene2pubmed(), t.gene2refseq(), keys)
+    offsets = refgene.cumulative_offsets(t.chrom_info())
+    return refgene.refgene_counts(
+        primary_chromosomes(t.refgene()), offsets, t.gene2pubmed(), t.gene2refseq(), keys
+    )
 
 
 @query

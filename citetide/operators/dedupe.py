@@ -6,6 +6,8 @@ first locus. Each rule is a partial + final aggregate, never a window over the g
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +53,10 @@ def one_locus_per_name(refgene: DataFrame) -> DataFrame:
     return first_by(refgene, ["name"], [*leading, *others]).select(*refgene.columns)
 
 
-def gene_attributes(gene_info: DataFrame, keys: tuple[str, ...] = ("tax_id", "gene_id")) -> DataFrame:
+def gene_attributes(
+    gene_info: DataFrame,
+    keys: Sequence[str] = ("tax_id", "gene_id"),
+    columns: Sequence[str] = ("symbol", "description", "type_of_gene"),
+) -> DataFrame:
     """One row per gene with its attributes and ``copies``, the number of source rows."""
-    columns = [c for c in ("symbol", "description", "type_of_gene", "full_name") if c in gene_info.columns]
-    return first_by(gene_info, list(keys), columns, copies="copies")
+    return first_by(gene_info, keys, columns, copies="copies")

@@ -23,8 +23,9 @@ def pagerank(edges: DataFrame, iterations: int, damping: float = 0.85, checkpoin
     for all rounds, so that a round moves only ranks and already summed contributions. The plan is cut
     every ``checkpoint_every`` rounds, and the final ranks are read from the checkpoint folder.
     """
-    distinct = drop_missing_edges(edges.select("src", "dst")).distinct()
-    hot = hot_keys(distinct, ["src"])
+    present = drop_missing_edges(edges.select("src", "dst"))
+    distinct = present.distinct()
+    hot = hot_keys(present, ["src"])
     keys = ["src", "salt"] if hot else ["src"]
     partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = spread(distinct, ["src"], hot, "salt", ["dst"]) if hot else distinct

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citetide.operators.running import running
-
 #: Start positions per chunk. Genome positions fit in 32 bits, so a group has at most 65,536 chunks, and
 #: after keeping the longest interval per start a chunk has at most 65,536 rows.
 WIDTH = 1 << 16
@@ -17,16 +15,31 @@ WIDTH = 1 << 16
 def union_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """Merge overlapping or touching intervals of each group: one row per union with its bounds.
 
-    Equal starts are first reduced to the farthest end, which collapses copies on the map side. An
-    interval opens a union when it starts after every earlier end; its union is then the latest opening
-    at or before it. Both are running maxima over chunked positions, so a group of any size is spread.
+    Equal starts are first reduced to the farthest end, which collapses copies on the map side. Intervals
+    are then merged within chunks of start positions. Over the chunks (a far smaller table) two running
+    maxima tell each chunk how far the earlier ones reach and where their last union opened; a merged
+    interval that starts within that reach continues that union. No task holds a whole group.
     """
     keys = list(keys)
+    chunk = [*keys, "_chunk"]
     longest = df.groupBy(*keys, start).agg(F.max(end).alias(end))
-    chunk = F.floor(F.col(start) / WIDTH)
-    reached = running(longest, keys, [start], end, "_reached", chunk, agg="max")
-    opens = F.col("_reached").isNull() | (F.col(start) > F.col("_reached"))
-    marked = reached.withColumn("_open", F.when(opens, F.col(start)))
-    united = running(marked, keys, [start], "_open", "_union", chunk, agg="max", inclusive=True)
-    bounds = united.groupBy(*keys, "_union").agg(F.max(end).alias(end))
+    longest = longest.withColumn("_chunk", F.floor(F.col(start) / WIDTH))
+
+    along = Window.partitionBy(*chunk).orderBy(start)
+    before = F.max(end).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    marked = longest.withColumn("_before", before)
+    opening = F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before")), F.col(start))
+    opened = F.max(opening).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    merged = marked.withColumn("_open", opened).groupBy(*chunk, "_open").agg(F.max(end).alias(end))
+
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = merged.groupBy(*chunk).agg(F.max(end).alias("_end"), F.max("_open").alias("_last"))
+    chunks = chunks.withColumn("_reach", F.max("_end").over(earlier))
+    # merged intervals of a chunk are apart, so the last one opens a union if any of them does
+    own = F.when(F.col("_reach").isNull() | (F.col("_last") > F.col("_reach")), F.col("_last"))
+    chunks = chunks.withColumn("_own", own).withColumn("_carried", F.max("_own").over(earlier))
+
+    joined = merged.join(chunks.select(*chunk, "_reach", "_carried"), chunk)
+    union = F.when(F.col("_open") <= F.col("_reach"), F.col("_carried")).otherwise(F.col("_open"))
+    bounds = joined.withColumn("_union", union).groupBy(*keys, "_union").agg(F.max(end).alias(end))
     return bounds.select(*keys, F.col("_union").alias(start), end)

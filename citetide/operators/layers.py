@@ -15,20 +15,23 @@ from pyspark.sql import functions as F
 
 from citetide.operators.running import CHUNK, global_index, position_chunk, running
 from citetide.operators.skew import is_small
+from citetide.session import pin
 
 
 def densify(df: DataFrame, series: str, x: str, value: str) -> DataFrame:
     """``series, x, value`` with every series at every step from the first to the last ``x``; 0 if absent.
 
-    The zero rows are added before the sum, so filling in needs no join.
+    The sums are written once and then filled up by adding zero rows, which needs no join.
     """
-    bounds = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()  # one row
     rows = df.select(F.col(series).alias("series"), F.col(x).alias("x"), F.col(value).alias("value"))
-    if bounds.lo is not None:
-        steps = F.explode(F.sequence(F.lit(bounds.lo), F.lit(bounds.hi))).alias("x")
-        spine = rows.select("series").distinct().select("series", steps)
-        rows = rows.unionByName(spine.withColumn("value", F.lit(0).cast(rows.schema["value"].dataType)))
-    return rows.groupBy("series", "x").agg(F.sum("value").alias("value"))
+    sums = pin(rows.groupBy("series", "x").agg(F.sum("value").alias("value")))
+    bounds = sums.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()  # one row
+    if bounds.lo is None:
+        return sums
+    steps = F.explode(F.sequence(F.lit(bounds.lo), F.lit(bounds.hi))).alias("x")
+    spine = sums.select("series").distinct().select("series", steps)
+    zeros = spine.withColumn("value", F.lit(0).cast(sums.schema["value"].dataType))
+    return sums.unionByName(zeros).groupBy("series", "x").agg(F.sum("value").alias("value"))
 
 
 def onset_order(layers: DataFrame, small: bool | None = None) -> DataFrame:
@@ -77,9 +80,10 @@ def _lighter_side(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def order_series(layers: DataFrame, how: str = "onset", small: bool | None = None) -> DataFrame:
-    """Add ``position`` by ``onset`` or ``inside_out`` to a layer table."""
+    """Add ``position`` by ``onset`` or ``inside_out`` to a layer table. The result is a written table, as
+    the baseline and the stacking both read it."""
     order = {"onset": onset_order, "inside_out": inside_out_order}[how](layers, small)
-    return layers.drop("position").join(order.select("series", "position"), "series")
+    return pin(layers.drop("position").join(order.select("series", "position"), "series"))
 
 
 def _below(layers: DataFrame, value: str, out: str, by: Sequence[str] = ("x",)) -> DataFrame:

@@ -23,10 +23,6 @@ def _frame(window, inclusive: bool):
     return window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
 
 
-def _combine(agg: str, first: Column, second: Column) -> Column:
-    return first + second if agg == "sum" else F.greatest(first, second)
-
-
 def running(
     df: DataFrame,
     by: Sequence[str],
@@ -34,38 +30,28 @@ def running(
     value: str,
     out: str,
     chunk: Column | None,
-    agg: str = "sum",
     inclusive: bool = False,
 ) -> DataFrame:
-    """Add ``out``, the running ``sum`` or ``max`` of ``value`` in ``order`` within ``by``.
+    """Add ``out``, the running sum of ``value`` in ``order`` within ``by``; 0 before the first row.
 
-    ``chunk`` must not decrease along ``order``; None means one window per group. The value before the
-    first row is 0 for a sum and null for a maximum.
+    ``chunk`` must not decrease along ``order``; None means one window per group.
     """
-    fold = {"sum": F.sum, "max": F.max}[agg]
-    empty = F.lit(0) if agg == "sum" else F.lit(None)
+    zero = F.lit(0).cast(df.schema[value].dataType)
 
-    def finish(column: Column) -> Column:
-        return F.coalesce(column, empty).cast(df.schema[value].dataType) if agg == "sum" else column
+    def so_far(column: str, window) -> Column:
+        return F.coalesce(F.sum(column).over(window), zero).cast(df.schema[value].dataType)
 
     if chunk is None:
         window = _frame(Window.partitionBy(*by).orderBy(*order), inclusive)
-        return df.withColumn(out, finish(fold(value).over(window)))
+        return df.withColumn(out, so_far(value, window))
     rows = df.withColumn("_chunk", chunk)
-    carries = (
-        rows.groupBy(*by, "_chunk")
-        .agg(fold(value).alias("_total"))
-        .withColumn("_carry", fold("_total").over(_frame(Window.partitionBy(*by).orderBy("_chunk"), False)))
-        .drop("_total")
-    )
-    inner = fold(value).over(_frame(Window.partitionBy(*by, "_chunk").orderBy(*order), inclusive))
+    totals = rows.groupBy(*by, "_chunk").agg(F.sum(value).alias("_total"))
+    earlier = _frame(Window.partitionBy(*by).orderBy("_chunk"), False)
+    carries = totals.select(*by, "_chunk", so_far("_total", earlier).alias("_carry"))
+    within = _frame(Window.partitionBy(*by, "_chunk").orderBy(*order), inclusive)
     # a chunk is one of an ordered range, so the join keys are never hotter than a chunk is wide
-    joined = rows.join(carries, [*by, "_chunk"]).withColumn("_inner", inner)
-    if agg == "sum":
-        total = F.coalesce(F.col("_carry"), empty) + F.coalesce(F.col("_inner"), empty)
-    else:
-        total = F.greatest("_carry", "_inner")  # ignores nulls
-    return joined.withColumn(out, finish(total)).select(*df.columns, out)
+    joined = rows.join(carries, [*by, "_chunk"])
+    return joined.withColumn(out, F.col("_carry") + so_far(value, within)).select(*df.columns, out)
 
 
 def range_chunks(df: DataFrame, order: Sequence[Column], name: str = "_range") -> DataFrame:
@@ -81,7 +67,12 @@ def range_chunks(df: DataFrame, order: Sequence[Column], name: str = "_range") -
 def global_running(
     df: DataFrame, order: Sequence[Column], value: str, out: str, small: bool | None = None
 ) -> DataFrame:
-    """Exclusive running sum of ``value`` over the whole table. ``order`` must identify the rows."""
+    """Exclusive running sum of ``value`` over the whole table. ``order`` must identify the rows.
+
+    Unless the table is known to be small it is written first, and its real size decides.
+    """
+    if small is None and not is_small(df):
+        df = pin(df)
     if is_small(df) if small is None else small:
         return running(df, [], order, value, out, None)
     chunked = range_chunks(df, order)

@@ -2,7 +2,7 @@
 
 ``skew_join`` looks at the data before it plans:
 
-1. If the optimizer's size estimate lets Spark broadcast the right side, the join is left to Spark:
+1. If the optimizer's size estimate is within the broadcast threshold for a side, that side is broadcast:
    the large side is not shuffled, so its key distribution does not matter.
 2. Otherwise a frequent-items sketch finds the keys above ``SHARE`` of the left rows. With none, the
    join is again left to Spark and can reuse an existing partitioning.
@@ -84,22 +84,35 @@ def skew_join(
     by: Sequence[str] | None = None,
     both: bool = False,
     hot: list[int] | None = None,
+    bound: DataFrame | None = None,
+    bound_left: DataFrame | None = None,
+    probe: DataFrame | None = None,
+    probe_right: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on equal columns when keys of ``left`` may be hot.
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. ``by`` names the left columns that
     spread a hot key (all others by default). With ``both`` (inner only) the hot keys of the right side
-    are spread too, so a key that is hot on both sides is worked on as a grid of sub-keys. Pass ``hot``
-    when the keys are already known.
+    are spread too, so a key that is hot on both sides is worked on as a grid of sub-keys.
+
+    A derived side is estimated and sketched through a source table of it: ``bound`` and
+    ``bound_left`` have at least the rows of ``right`` and ``left``, ``probe`` and ``probe_right`` hold the key columns of the sides. ``hot`` passes keys that
+    are already known.
     """
     on = [on] if isinstance(on, str) else list(on)
     if both and how != "inner":
         raise ValueError("both sides can be spread only for an inner join")
+    hot_right: list[int] = []
     if hot is None:
         if is_small(right):
             return left.join(right, on, how)
-        hot = hot_keys(left, on)
-    hot_right = hot_keys(right, on) if both else []
+        if bound is not None and is_small(bound):
+            return left.join(F.broadcast(right), on, how)
+        if how == "inner" and is_small(left if bound_left is None else bound_left):
+            return F.broadcast(left).join(right, on, how)
+        hot = hot_keys(left if probe is None else probe, on)
+        if both:
+            hot_right = hot_keys(right if probe_right is None else probe_right, on)
     if not hot and not hot_right:
         return left.join(right, on, how)
     keys = list(on)

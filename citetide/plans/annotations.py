@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citetide.functions.scalars import int_list
+from citetide.functions.scalars import int_list, strip_version
 from citetide.operators.counting import count_by
 from citetide.operators.dedupe import gene_refseq_pairs
 from citetide.operators.intervals import union_intervals
@@ -36,7 +36,8 @@ def gene_row_counts(gene2pubmed: DataFrame) -> DataFrame:
 
 def refseq_citations(gene2pubmed: DataFrame, gene2refseq: DataFrame) -> DataFrame:
     """``gene_id, refseq_id, citations`` for every transcript of a cited gene."""
-    return skew_join(gene_refseq_pairs(gene2refseq), gene_row_counts(gene2pubmed), "gene_id", by=["refseq_id"])
+    counts = gene_row_counts(gene2pubmed)
+    return skew_join(gene_refseq_pairs(gene2refseq), counts, "gene_id", by=["refseq_id"], probe=gene2refseq)
 
 
 def cited_genes(gene_info: DataFrame, gene2pubmed: DataFrame) -> DataFrame:
@@ -53,10 +54,19 @@ def gene_annotations(
     Attributes and the count are put on the gene's transcripts first, then on the loci, so the widest
     table is shuffled once.
     """
-    genes = cited_genes(gene_info, gene2pubmed)
-    named = skew_join(gene_refseq_pairs(gene2refseq), genes, "gene_id", by=["refseq_id"], both=True)
+    named = skew_join(
+        gene_refseq_pairs(gene2refseq),
+        cited_genes(gene_info, gene2pubmed),
+        "gene_id",
+        by=["refseq_id"],
+        both=True,
+        bound=gene_info,
+        probe=gene2refseq,
+        probe_right=gene_info,
+    )
     loci = refgene.withColumnRenamed("name", "refseq_id")
-    return skew_join(loci, named, "refseq_id", both=True).select(*COLUMNS)
+    accessions = gene2refseq.select(strip_version(F.col("accession")).alias("refseq_id"))
+    return skew_join(loci, named, "refseq_id", both=True, probe_right=accessions).select(*COLUMNS)
 
 
 def exon_intervals(annotations: DataFrame) -> DataFrame:

@@ -30,15 +30,21 @@ def cited_dates(dates: DataFrame, gene2pubmed: DataFrame) -> DataFrame:
     return skew_join(dates, gene2pubmed.select("pmid").distinct(), "pmid", "left_semi")
 
 
-def dated_pairs(gene2pubmed: DataFrame, dates: DataFrame, keys: Sequence[str], dedupe_dates: bool) -> DataFrame:
-    """``*keys, year, n``: rows of ``gene2pubmed`` with the year of the paper, ``n`` source rows each.
+def dated_pairs(
+    gene2pubmed: DataFrame,
+    dates: DataFrame,
+    keys: Sequence[str],
+    dedupe_dates: bool,
+    probe: DataFrame | None = None,
+) -> DataFrame:
+    """``*keys, pmid, year, n``: rows of ``gene2pubmed`` with the year of the paper, ``n`` source rows each.
 
     If some paper is hot, equal rows are combined before the join, since copies would stay together when
     the paper's rows are spread by gene.
     """
     years = one_year_per_pub(dates).withColumn("n", F.lit(1).cast("bigint")) if dedupe_dates else years_per_pub(dates)
     rows = gene2pubmed.select(*keys, "pmid")
-    hot = [] if is_small(years) else hot_keys(rows, ["pmid"])
+    hot = [] if is_small(years) else hot_keys(rows if probe is None else probe, ["pmid"])
     if not hot:
         return rows.join(years, "pmid").select(*keys, "pmid", "year", "n")
     combined = count_by(rows, [*keys, "pmid"], "copies")
@@ -52,18 +58,20 @@ def citation_counts(
     keys: Sequence[str] = GENE,
     dedupe_dates: bool = True,
     by_year: bool = True,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """``*keys[, year], citations``: citation rows with a date.
 
     With ``dedupe_dates`` a paper has its latest year only; without, it counts under each of its dates.
+    ``probe`` is a source table with the papers, if ``gene2pubmed`` is derived.
     """
-    pairs = dated_pairs(gene2pubmed, dates, keys, dedupe_dates)
+    pairs = dated_pairs(gene2pubmed, dates, keys, dedupe_dates, probe)
     return pairs.groupBy(*keys, *(["year"] if by_year else [])).agg(F.sum("n").alias("citations"))
 
 
 def attach_genes(counts: DataFrame, gene_info: DataFrame, keys: Sequence[str] = GENE) -> DataFrame:
     """Add gene attributes to counts per gene; genes without them are dropped."""
-    attributes = gene_attributes(gene_info, tuple(keys))
+    attributes = gene_attributes(gene_info, keys)
     joined = counts.join(attributes, list(keys)).withColumn("citations", F.col("citations") * F.col("copies"))
     columns = [c for c in counts.columns if c != "citations"]
     return joined.select(*columns, *ATTRIBUTES, "citations")
@@ -135,7 +143,7 @@ def genes_per_paper(gene_info: DataFrame, gene2pubmed: DataFrame, dates: DataFra
 
     Genes without attributes are dropped first; counts per paper are complete before the dates are met.
     """
-    attributes = gene_attributes(gene_info).select(*GENE, "copies")
+    attributes = count_by(gene_info, GENE, "copies")
     rows = gene2pubmed.select(*GENE, "pmid")
     hot = [] if is_small(attributes) else hot_keys(rows, GENE)
     if hot:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citetide.operators.skew import skew_join
 from citetide.operators.topk import top_k
+from citetide.session import pin
 
 
 def top_transcript_genes(annotations: DataFrame, k: int) -> DataFrame:
@@ -19,9 +20,9 @@ def paper_coverage(gene2pubmed: DataFrame, genes: DataFrame, tax_id: int) -> Dat
     """One row: ``genes`` in the list, ``gene_papers`` citing any of them (all species), and
     ``species_papers`` of the species.
 
-    Citation rows are flagged, then reduced to one row per paper, which combines on the map side.
+    The list is written once, as it is counted and joined. Citation rows are flagged, then reduced to one row per paper, which combines on the map side.
     """
-    listed = genes.select("gene_id").distinct().withColumn("listed", F.lit(1))
+    listed = pin(genes.select("gene_id").distinct()).withColumn("listed", F.lit(1))
     rows = gene2pubmed.select("gene_id", "pmid", (F.col("tax_id") == tax_id).cast("int").alias("own"))
     flagged = skew_join(rows, listed, "gene_id", "left", by=["pmid"])
     papers = flagged.groupBy("pmid").agg(F.max("listed").alias("listed"), F.max("own").alias("own"))

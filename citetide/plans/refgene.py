@@ -51,20 +51,32 @@ def refseq_counts(gene2pubmed: DataFrame, gene2refseq: DataFrame) -> DataFrame:
     return counts.join(refseq_of_gene(gene2refseq), list(GENE)).select(*GENE, "refseq_id", "citations")
 
 
-def attach_counts(refgene: DataFrame, counts: DataFrame, one_locus: bool = False) -> DataFrame:
-    """Add ``citations`` to transcripts by accession: at every locus, or at one locus per transcript."""
-    rows = one_locus_per_name(refgene) if one_locus else refgene
-    return skew_join(rows, counts.select(F.col("refseq_id").alias("name"), "citations"), "name")
+def attach_counts(
+    refgene: DataFrame, counts: DataFrame, one_locus: bool = False, source: DataFrame | None = None
+) -> DataFrame:
+    """Add ``citations`` to transcripts by accession: at every locus, or at one locus per transcript.
+
+    ``source`` is the transcript table that ``refgene`` is derived from, if it is.
+    """
+    named = counts.select(F.col("refseq_id").alias("name"), "citations")
+    if one_locus:
+        return one_locus_per_name(refgene).join(named, "name")
+    return skew_join(refgene, named, "name", bound_left=source, probe=source)
 
 
 def refgene_counts(
-    refgene: DataFrame, gene2pubmed: DataFrame, gene2refseq: DataFrame, keys: list[str] | None = None
+    refgene: DataFrame,
+    offsets: DataFrame,
+    gene2pubmed: DataFrame,
+    gene2refseq: DataFrame,
+    keys: list[str] | None = None,
 ) -> DataFrame:
-    """Transcripts with positions, counts and a row id; ``refgene`` has genome coordinates.
+    """Transcripts with genome-wide positions, counts and a row id.
 
     ``keys`` are the columns of the id digest; without them ids are random.
     """
-    counted = attach_counts(refgene, refseq_counts(gene2pubmed, gene2refseq))
+    placed = with_genome_coords(refgene, offsets)
+    counted = attach_counts(placed, refseq_counts(gene2pubmed, gene2refseq), source=refgene)
     columns = [
         "name",
         "chrom",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citetide.functions.scalars import strip_version
 from citetide.operators.counting import first_by, roll_up
 from citetide.operators.dedupe import gene_of_refseq, one_locus_per_name
-from citetide.operators.skew import skew_join
+from citetide.operators.skew import hot_keys, is_small, skew_join
 from citetide.plans.citations import ATTRIBUTES, GENE, citation_counts
 
 LOCUS = ("chrom", "tx_start", "tx_end")
@@ -27,9 +27,9 @@ def located_refseq(gene2refseq: DataFrame, refgene: DataFrame) -> DataFrame:
 
     The mark for a missing accession can be the commonest one; distinct rows are spread by gene.
     """
-    rows = gene2refseq.select(*GENE, strip_version(F.col("accession")).alias("refseq_id")).distinct()
-    names = refgene.select(F.col("name").alias("refseq_id")).distinct()
-    return skew_join(rows, names, "refseq_id", "left_semi", by=GENE)
+    rows = gene2refseq.select(*GENE, strip_version(F.col("accession")).alias("refseq_id"))
+    names = refgene.select(F.col("name").alias("refseq_id"))
+    return skew_join(rows.distinct(), names.distinct(), "refseq_id", "left_semi", by=GENE, bound=names, probe=rows)
 
 
 def transcript_by_year(
@@ -42,8 +42,8 @@ def transcript_by_year(
     afterwards avoids a row per transcript and paper.
     """
     pairs = gene2pubmed.select(*GENE, "pmid").distinct()
-    counts = citation_counts(pairs, dates)
-    attributes = gene_info.groupBy(*GENE).agg(F.min(F.struct(*ATTRIBUTES)).alias("first")).select(*GENE, "first.*")
+    counts = citation_counts(pairs, dates, probe=gene2pubmed)
+    attributes = first_by(gene_info, GENE, ATTRIBUTES)
     transcript = first_by(located_refseq(gene2refseq, refgene), GENE, ["refseq_id"])
     loci = one_locus_per_name(refgene).select(F.col("name").alias("refseq_id"), *LOCUS)
     placed = transcript.join(loci, "refseq_id")
@@ -59,6 +59,7 @@ def transcript_totals(by_year: DataFrame) -> DataFrame:
 def add_gene_id(refgene: DataFrame, gene2refseq: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Transcripts with ``gene_id`` in front, and the names of transcripts without a gene."""
     genes = gene_of_refseq(gene2refseq).select(F.col("refseq_id").alias("name"), "gene_id")
-    matched = skew_join(refgene, genes, "name").select("gene_id", *refgene.columns)
-    unmatched = skew_join(refgene, genes, "name", "left_anti").select("name")
-    return matched, unmatched
+    hot = [] if is_small(refgene) or is_small(genes) else hot_keys(refgene, ["name"])
+    matched = skew_join(refgene, genes, "name", hot=hot).select("gene_id", *refgene.columns)
+    unmatched = skew_join(refgene.select("name", "chrom", "tx_start"), genes, "name", "left_anti", hot=hot)
+    return matched, unmatched.select("name")

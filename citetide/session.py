@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,15 +29,22 @@ def build_session(app_name: str = "citetide", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one named in ``spark.checkpoint.dir``, which every executor
+    can reach. A temporary folder is made only where none is named, as in a local test."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="citetide-"))
+    return context.getCheckpointDir()
+
+
 def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read on from there.
+    """Write ``df`` to a table in the shared folder and read on from there.
 
-    Cuts the lineage and fixes the rows, so that a lost executor re-reads files instead of recomputing
-    them. The folder is the one named in ``spark.checkpoint.dir``; a temporary folder is used only where
-    none is set, as in a local test.
+    The rows are computed once and fixed, the lineage is cut, a lost executor re-reads files instead of
+    recomputing, and the planner knows the table's real size.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="citetide-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
