@@ -45,8 +45,8 @@ def is_small(df: DataFrame) -> bool:
     return size is not None and size <= threshold
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: float = SHARE) -> list[int]:
-    """Hashes of the keys that hold more than ``share`` of the rows (at most ``REPORTED`` numbers)."""
+def hot_keys(df: DataFrame, on: Sequence[str]) -> list[int]:
+    """Hashes of the keys that hold more than ``SHARE`` of the rows (at most ``REPORTED`` numbers)."""
     partial = (
         df.select(F.xxhash64(*on).alias("key"), F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("part"))
         .groupBy("part")
@@ -56,7 +56,7 @@ def hot_keys(df: DataFrame, on: Sequence[str], share: float = SHARE) -> list[int
         F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {REPORTED})").alias("top"),
         F.sum("n").alias("n"),
     ).first()
-    return [] if not found.n else [item["item"] for item in found.top if item["count"] > share * found.n]
+    return [] if not found.n else [item["item"] for item in found.top if item["count"] > SHARE * found.n]
 
 
 def is_hot(on: Sequence[str], hot: list[int]) -> Column:

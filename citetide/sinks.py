@@ -11,31 +11,21 @@ from citetide.functions.scalars import MISSING
 
 
 def write_table(
-    df: DataFrame,
-    path: str,
-    fmt: str = "parquet",
-    partition_by: Sequence[str] = (),
-    suffix: str | None = None,
+    df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), **options: str | bool
 ) -> None:
     """Write a table folder. Rows are rebalanced by the partition columns first: few files per value, and
     adaptive execution splits a value that holds a large share of the rows."""
     if partition_by:
         df = df.hint("rebalance", *[F.col(c) for c in partition_by])
-    writer = df.write.mode("overwrite").format(fmt)
-    if suffix:
-        writer = writer.option("extension", suffix.lstrip("."))
-    writer.partitionBy(*partition_by).save(path)
+    df.write.mode("overwrite").format(fmt).options(**options).partitionBy(*partition_by).save(path)
 
 
 def write_tsv(
     df: DataFrame, path: str, header: bool = False, partition_by: Sequence[str] = (), null: str = ""
 ) -> None:
     """Tab-separated text without quoting; a null is an empty field."""
-    if partition_by:
-        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
-    writer = df.write.mode("overwrite").option("sep", "\t").option("header", header).option("quote", "")
-    writer = writer.option("escape", "").option("nullValue", null).option("emptyValue", "")
-    writer.option("escapeQuotes", False).partitionBy(*partition_by).csv(path)
+    text = {"sep": "\t", "header": header, "quote": "", "escape": "", "escapeQuotes": False}
+    write_table(df, path, "csv", partition_by, nullValue=null, emptyValue="", **text)
 
 
 def register(df: DataFrame, name: str) -> DataFrame:

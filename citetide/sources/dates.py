@@ -54,7 +54,5 @@ def extract_ids(responses: DataFrame, text: Column | str = "text", name: str = "
 
 def write_daily_dates(ids: DataFrame, folder: str) -> None:
     """``pub_date, pmid`` rows as one folder per day with ``YYYY-MM-DD pmid`` lines; empty days have none."""
-    lines = ids.select(
-        "pub_date", F.concat_ws(" ", iso_day(F.col("pub_date")), F.col("pmid").cast("string")).alias("value")
-    )
-    write_table(lines, folder, fmt="text", partition_by=["pub_date"], suffix=".ssv")
+    lines = ids.select("pub_date", iso_day(F.col("pub_date")).alias("day"), "pmid")
+    write_table(lines, folder, "csv", ["pub_date"], sep=" ", extension="ssv")
