@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Start positions per chunk. Genome positions fit in 32 bits, so a group has at most 65,536 chunks, and
-#: after keeping the longest interval per start a chunk has at most 65,536 rows.
-WIDTH = 1 << 16
+#: Start positions per chunk, as a power of two. Genome positions fit in 32 bits, so a group has at most
+#: 65,536 chunks, and after keeping the longest interval per start a chunk has at most 65,536 rows.
+CHUNK_BITS = 16
 
 
 def union_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
@@ -18,12 +18,15 @@ def union_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) ->
     Equal starts are first reduced to the farthest end, which collapses copies on the map side. Intervals
     are then merged within chunks of start positions. Over the chunks (a far smaller table) two running
     maxima tell each chunk how far the earlier ones reach and where their last union opened; a merged
-    interval that starts within that reach continues that union. No task holds a whole group.
+    interval that starts within that reach continues that union. No task holds a whole group. Rows with a
+    null key or bound are no intervals and are dropped.
     """
     keys = list(keys)
     chunk = [*keys, "_chunk"]
-    longest = df.groupBy(*keys, start).agg(F.max(end).alias(end))
-    longest = longest.withColumn("_chunk", F.floor(F.col(start) / WIDTH))
+    # dropping nulls first also keeps both uses of ``merged`` alike, so that its shuffles are run once
+    present = df.select(*keys, start, end).na.drop()
+    longest = present.groupBy(*keys, start).agg(F.max(end).alias(end))
+    longest = longest.withColumn("_chunk", F.shiftright(start, CHUNK_BITS)).filter(F.col("_chunk").isNotNull())
 
     along = Window.partitionBy(*chunk).orderBy(start)
     before = F.max(end).over(along.rowsBetween(Window.unboundedPreceding, -1))

@@ -79,10 +79,10 @@ def brute_unions(rows):
     return [tuple(pair) for pair in merged]
 
 
-@pytest.mark.parametrize("width", [4, 16, 1 << 16])
-def test_interval_unions(spark, monkeypatch, values, width):
-    monkeypatch.setattr(intervals, "WIDTH", width)
-    rng = random.Random(width)
+@pytest.mark.parametrize("bits", [2, 4, 16])
+def test_interval_unions(spark, monkeypatch, values, bits):
+    monkeypatch.setattr(intervals, "CHUNK_BITS", bits)
+    rng = random.Random(bits)
     data = []
     for group in range(12):
         for _ in range(rng.choice([1, 5, 40])):
