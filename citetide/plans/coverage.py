@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citetide.operators.skew import skew_join
+from citetide.operators.skew import hot_keys, is_small, skew_join
 from citetide.operators.topk import top_k
 from citetide.session import pin
 
@@ -24,18 +24,21 @@ def paper_coverage(gene2pubmed: DataFrame, genes: DataFrame, tax_id: int) -> Dat
     """
     listed = pin(genes.select("gene_id").distinct()).withColumn("listed", F.lit(1))
     rows = gene2pubmed.select("gene_id", "pmid", (F.col("tax_id") == tax_id).cast("int").alias("own"))
-    flagged = skew_join(rows, listed, "gene_id", "left", by=["pmid"])
+    hot = [] if is_small(listed) else hot_keys(rows, ["gene_id"])
+    flagged = skew_join(rows.distinct() if hot else rows, listed, "gene_id", "left", by=["pmid"], hot=hot)
     papers = flagged.groupBy("pmid").agg(F.max("listed").alias("listed"), F.max("own").alias("own"))
-    covered = papers.agg(
-        F.coalesce(F.sum("listed"), F.lit(0)).alias("gene_papers"),
-        F.coalesce(F.sum("own"), F.lit(0)).alias("species_papers"),
+    none = F.lit(0)
+    parts = papers.select(none.alias("genes"), "listed", "own").unionByName(
+        listed.select(F.lit(1).alias("genes"), none.alias("listed"), none.alias("own"))
     )
-    size = listed.agg(F.count("*").alias("genes")).withColumn("_row", F.lit(1))
-    return size.join(covered.withColumn("_row", F.lit(1)), "_row").drop("_row")
+    totals = {"genes": "genes", "listed": "gene_papers", "own": "species_papers"}
+    return parts.agg(*[F.coalesce(F.sum(c), none.cast("bigint")).alias(name) for c, name in totals.items()])
 
 
 def papers_of_genes(gene2pubmed: DataFrame, genes: DataFrame) -> DataFrame:
     """Distinct papers citing any listed gene."""
     rows = gene2pubmed.select("gene_id", "pmid")
-    kept = skew_join(rows, genes.select("gene_id").distinct(), "gene_id", "left_semi", by=["pmid"])
+    listed = genes.select("gene_id").distinct()
+    hot = [] if is_small(listed) else hot_keys(rows, ["gene_id"])
+    kept = skew_join(rows.distinct() if hot else rows, listed, "gene_id", "left_semi", by=["pmid"], hot=hot)
     return kept.select("pmid").distinct()

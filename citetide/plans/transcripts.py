@@ -45,7 +45,7 @@ def transcript_by_year(
     counts = citation_counts(pairs, dates, probe=gene2pubmed)
     attributes = first_by(gene_info, GENE, ATTRIBUTES)
     transcript = first_by(located_refseq(gene2refseq, refgene), GENE, ["refseq_id"])
-    loci = one_locus_per_name(refgene).select(F.col("name").alias("refseq_id"), *LOCUS)
+    loci = one_locus_per_name(refgene.select("name", *LOCUS)).withColumnRenamed("name", "refseq_id")
     placed = transcript.join(loci, "refseq_id")
     joined = counts.join(attributes, list(GENE)).join(placed, list(GENE))
     return joined.select(*GENE, "year", "refseq_id", *LOCUS, *ATTRIBUTES, "citations")
