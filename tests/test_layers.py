@@ -127,7 +127,7 @@ def alternating():
 
 
 def test_alternating_bounds(ordered):
-    assert by_cell(layers.alternate_bounds(ordered), "lower", "upper") == pytest.approx(alternating())
+    assert by_cell(layers.alternate_bounds(ordered), "lower", "upper") == alternating()
 
 
 def test_single_series(spark):
