@@ -114,7 +114,7 @@ _LENSES = {
     "exon_marks": """
         SELECT *, CASE WHEN exon_start > max(exon_end) OVER (PARTITION BY gene_id, chrom, strand
                   ORDER BY exon_start, exon_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens
-        FROM exons""",
+        FROM (SELECT DISTINCT * FROM exons)""",
     "exon_islands": """
         SELECT *, sum(opens) OVER (PARTITION BY gene_id, chrom, strand ORDER BY exon_start, exon_end
                   ROWS UNBOUNDED PRECEDING) AS island
