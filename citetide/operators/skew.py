@@ -21,13 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A key above this share of the rows is spread.
-SHARE = 1 / 1000
+SHARE = 1 / 4000
 #: Sub-keys per spread key.
 SALTS = 256
-#: Keys a sketch keeps, and the most it reports: the driver never sees more than this many numbers.
-TRACKED, REPORTED = 4096, 1000
+#: Keys a sketch keeps, which sets the smallest share it can tell, and the most it reports: no more keys can
+#: be above ``SHARE``, and the driver never sees more numbers.
+TRACKED, REPORTED = 16384, 4000
 #: Sketches are merged in this many groups before the last merge.
-MERGE_GROUPS = 64
+MERGE_GROUPS = 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:

@@ -41,3 +41,12 @@ def spark_rows(df):
 def duckdb_rows(connection, statement):
     result = connection.execute(statement)
     return rows([column[0] for column in result.description], result.fetchall())
+
+
+def spark_types(df):
+    names = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
+    return sorted((column, names.get(kind, kind)) for column, kind in df.dtypes)
+
+
+def duckdb_types(connection, statement):
+    return sorted((row[0], row[1]) for row in connection.execute(f"DESCRIBE {statement}").fetchall())

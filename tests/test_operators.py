@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from citetide import session
 from citetide.operators import counting, dedupe, graph, intervals, running, skew, topk
+from citetide.plans import citations
 
 
 def facts(spark, rows=900):
@@ -24,6 +26,34 @@ def test_hot_key_is_found(spark):
     assert seven in hot
 
 
+def test_hot_paper_is_spread_and_counted(spark, large, values):
+    """A third of the rows cite one paper, and a third are copies of one row."""
+    data = [(1, 5, 8)] * 3000 + [(1, n, 7) for n in range(3000)] + [(1, n % 50, 100 + n) for n in range(3000)]
+    rows = spark.createDataFrame(data, "tax_id int, gene_id bigint, pmid bigint")
+    dates = spark.createDataFrame([(p, 2000 + p % 3) for p in range(0, 3000)], "pmid bigint, year int")
+    hot = skew.hot_keys(rows, ["pmid"])
+    assert len(hot) == 2
+    spread = skew.spread(rows.distinct(), ["pmid"], hot, "salt", ["gene_id"])
+    assert spread.groupBy("pmid", "salt").count().agg({"count": "max"}).first()[0] < 60
+    expected = {}
+    for tax, gene, pmid in data:
+        if pmid < 3000:
+            key = (tax, gene, 2000 + pmid % 3)
+            expected[key] = expected.get(key, 0) + 1
+    counts = citations.citation_counts(rows, dates)
+    assert "_salt_left" in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert values(counts) == sorted(((*key, n) for key, n in expected.items()), key=repr)
+
+
+def test_tables_are_pinned_in_the_shared_folder(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    folder = session.shared_folder(spark)
+    assert named is None or named.rstrip("/") in folder
+    pinned = session.pin(spark.range(5).withColumn("t", F.lit("x")))
+    assert folder.split(":")[-1] in pinned.inputFiles()[0]
+    assert pinned.count() == 5
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_skew_join_equals_join(spark, salted, values, how):
     df, _ = facts(spark)
