@@ -32,6 +32,9 @@ def pagerank(edges: DataFrame, iterations: int, damping: float = 0.85, checkpoin
     links = links.repartition(partitions, *keys).persist(StorageLevel.MEMORY_AND_DISK)
     degrees = links.groupBy("src").agg(F.count("*").alias("degree"))
     degrees = degrees.repartition(partitions, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    # the planner trusts the partitioning of a persisted table only once it is filled
+    for table in (links, degrees):
+        table.count()
 
     ranks = degrees.select(F.col("src").alias("node"), F.lit(1.0).alias("rank"))
     for done in range(1, iterations + 1):
