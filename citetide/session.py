@@ -31,11 +31,16 @@ def build_session(app_name: str = "citetide", master: str | None = None, **conf:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: the one named in ``spark.checkpoint.dir``, which every executor
-    can reach. A temporary folder is made only where none is named, as in a local test."""
+    can reach. Where none is named, a local master gets a temporary folder and any other master an error,
+    since executors would then write to disks that the readers cannot see."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="citetide-"))
+        if folder is None:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="citetide-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -43,8 +48,18 @@ def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read on from there.
 
     The rows are computed once and fixed, the lineage is cut, a lost executor re-reads files instead of
-    recomputing, and the planner knows the table's real size.
+    recomputing, and the planner knows the table's real size. :func:`unpin` deletes the table once nothing
+    reads it any more.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.pinned_path = path
+    return table
+
+
+def unpin(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`pin`; frames that still read them fail afterwards."""
+    for table in tables:
+        folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.pinned_path)
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

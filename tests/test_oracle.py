@@ -4,10 +4,10 @@ import compare
 import pytest
 
 import __spark_entry__ as driver
+from catalog.oracle import STATEMENTS
+from catalog.queries import REGISTRY as QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = driver.queries()
-STATEMENTS = driver.oracle_sql()
 
 
 @pytest.fixture(scope="module")
