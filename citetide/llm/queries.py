@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces, quality, templates
+from . import decontaminate, near_dups, pieces, quality, templates
 from .sql import STATEMENTS
 
 __all__ = ["REGISTRY", "STATEMENTS"]
@@ -29,6 +29,11 @@ def op8_log_template_lines(spark: SparkSession, folder: str) -> DataFrame:
     return templates.drop_templates(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op9_minhash_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of near copies of every document, and whether the document stands for it."""
+    return near_dups.report(_table(spark, folder, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words inside benchmark windows, the items they come from, and whether the document is contaminated."""
     return decontaminate.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))

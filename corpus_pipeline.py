@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citetide.llm import decontaminate, pieces, quality, templates
+from citetide.llm import decontaminate, near_dups, pieces, quality, templates
 from citetide.session import shared_folder
 
 
@@ -32,6 +32,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return near_dups.keep_one(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates."""
     return decontaminate.keep_clean(docs, _table(docs, sf_dir, "benchmark"))
@@ -45,6 +50,7 @@ def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 STAGES = [
     ("quality_classifier", quality_classifier),
     ("line_dedup", line_dedup),
+    ("minhash_near_dedup", minhash_near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("sentencepiece_encoding", sentencepiece_encoding),
 ]
