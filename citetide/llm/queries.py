@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dups, pieces, quality, templates
+from . import decontaminate, embeddings, near_dups, pieces, quality, suffixes, templates
 from .sql import STATEMENTS
 
 __all__ = ["REGISTRY", "STATEMENTS"]
@@ -14,11 +14,21 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_embedding_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    """Links, component and representative of every vector."""
+    return embeddings.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op2_sentencepiece_sampling(spark: SparkSession, folder: str) -> DataFrame:
     """Sampled pieces of every text, and whether they decode to it."""
     return pieces.encode_report(_table(spark, folder, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes removed from every document because a string of 400 bytes over them is repeated."""
+    return suffixes.report(_table(spark, folder, "documents"))
+
+
 def op7_quality_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """Log importance weight, Gumbel key and whether the draw takes the document."""
     return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
