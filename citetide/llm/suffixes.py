@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from citetide.session import pin
 
+from .membership import build, sift
 from .textblocks import U64, SpanHasher, blocks
 
 LENGTH, GRAM = 400, 32
@@ -310,7 +311,9 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
         .groupBy("at.t1", "at.t2")
         .agg(F.collect_list(F.struct("anchor", "at.first", "at.n", (F.col("different") > group).alias("crowded"))).alias("wanted"))
     )
-    one_each = texts.join(wanted.select(*_TEXT), _TEXT, "left_semi").groupBy(*_TEXT).agg(F.first("text").alias("text"))
+    wanted = pin(wanted)
+    likely = sift(texts, "t1", build(wanted, "t1"))
+    one_each = likely.join(wanted.select(*_TEXT), _TEXT, "left_semi").groupBy(*_TEXT).agg(F.first("text").alias("text"))
     cut = one_each.join(wanted, _TEXT).mapInArrow(_cut(length), "anchor long, t1 long, t2 long, first int, bytes binary, crowded boolean")
     cut = pin(cut)
     shards = cut.where("not crowded").repartition("anchor").sortWithinPartitions("anchor")
@@ -356,14 +359,22 @@ def _strip(length: int, digest: bool, name: str):
 
 
 def _joined(documents: DataFrame, **sizes: int) -> DataFrame:
+    """``doc_id``, ``text`` and the ranges of each document; texts without any are not shuffled."""
     ranges = repeated_ranges(documents, **sizes).groupBy(*_TEXT).agg(F.collect_set(F.struct("first", "n")).alias("_ranges"))
-    keyed = documents.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
-    return keyed.join(ranges, _TEXT, "left")
+    ranges = pin(ranges)
+    known = documents.where("text is not null").withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+    held = build(ranges, "t1")
+    none = F.lit(None).cast(ranges.schema["_ranges"].dataType).alias("_ranges")
+    return (
+        sift(known, "t1", held).join(ranges, _TEXT, "left").select("doc_id", "text", "_ranges")
+        .unionByName(sift(known, "t1", held, inside=False).select("doc_id", "text", none))
+        .unionByName(documents.where("text is null").select("doc_id", "text", none))
+    )
 
 
 def remove_repeats(documents: DataFrame, **sizes: int) -> DataFrame:
     """``doc_id``, ``text``, the counts, and ``kept``: the remaining bytes (they may end within a character)."""
-    rows = _joined(documents.select("doc_id", "text"), **sizes).select("doc_id", "text", "_ranges")
+    rows = _joined(documents.select("doc_id", "text"), **sizes)
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text string, n_bytes long, n_removed long, n_spans long, kept binary"
     return rows.mapInArrow(_strip(sizes.get("length", LENGTH), False, "kept"), schema)
@@ -371,7 +382,7 @@ def remove_repeats(documents: DataFrame, **sizes: int) -> DataFrame:
 
 def report(documents: DataFrame, **sizes: int) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of every document."""
-    rows = _joined(documents.select("doc_id", "text"), **sizes).select("doc_id", "text", "_ranges")
+    rows = _joined(documents.select("doc_id", "text"), **sizes)
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return rows.mapInArrow(_strip(sizes.get("length", LENGTH), True, "kept_sha256"), schema).drop("text")
