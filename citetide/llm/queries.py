@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, near_dups, pieces, quality, suffixes, templates
+from . import decontaminate, embeddings, languages, near_dups, pieces, quality, suffixes, templates, toxicity
 from .sql import STATEMENTS
 
 __all__ = ["REGISTRY", "STATEMENTS"]
@@ -29,6 +29,16 @@ def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.report(_table(spark, folder, "documents"))
 
 
+def op5_lexicon_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score and prediction of every text."""
+    return toxicity.report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op6_language_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every text."""
+    return languages.report(_table(spark, folder, "documents"))
+
+
 def op7_quality_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """Log importance weight, Gumbel key and whether the draw takes the document."""
     return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
