@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, languages, near_dups, pieces, quality, suffixes, templates, toxicity
+from . import chats, decontaminate, embeddings, languages, near_dups, pieces, quality, suffixes, templates, toxicity
 from .sql import STATEMENTS
 
 __all__ = ["REGISTRY", "STATEMENTS"]
@@ -29,6 +29,11 @@ def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.report(_table(spark, folder, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Repaired role, moves and rendered fragment of every turn."""
+    return chats.format_chats(_table(spark, folder, "conversations"))
+
+
 def op5_lexicon_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score and prediction of every text."""
     return toxicity.report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
