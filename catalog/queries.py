@@ -14,9 +14,8 @@ from citetide.operators import counting, dedupe, graph, layers, pivots
 from citetide.plans import annotations, citations, columns, coverage, daily, disease, ranking, refgene, streams, transcripts
 from citetide.sources.dates import date_spine
 
-#: Fixed parameters of the queries.
+#: Fixed parameter of the queries.
 SPECIES = 9
-YEARS = list(range(1995, 2002))
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -184,17 +183,17 @@ def paper_lookup(t: Lens) -> DataFrame:
 
 @query
 def symbol_by_year(t: Lens) -> DataFrame:
-    return pivots.pivot_years(_by_year(t), YEARS)
+    return pivots.pivot_years(_by_year(t), pivots.year_labels(t.pmid_dates()))
 
 
 @query
 def symbol_by_decade(t: Lens) -> DataFrame:
-    return pivots.pivot_decades(_by_year(t), YEARS)
+    return pivots.pivot_decades(_by_year(t), pivots.year_labels(t.pmid_dates()))
 
 
 @query
 def top_symbols_by_decade(t: Lens) -> DataFrame:
-    return pivots.pivot_top(_by_year(t), 20, YEARS)
+    return pivots.pivot_top(_by_year(t), 20, pivots.year_labels(t.pmid_dates()))
 
 
 @query
@@ -426,8 +425,8 @@ def _layers(t: Lens) -> DataFrame:
     return streams.type_layers(_by_year(t))
 
 
-def _stacked(t: Lens, how: str, order: str = "onset") -> DataFrame:
-    return rounded(streams.stacked_layers(_layers(t), order, how), "lower", "upper")
+def _stacked(t: Lens, how: str) -> DataFrame:
+    return rounded(streams.stacked_layers(_layers(t), how), "lower", "upper")
 
 
 def _alternating(t: Lens, how: str) -> DataFrame:
@@ -454,11 +453,6 @@ def series_onset(t: Lens) -> DataFrame:
     return layers.onset_order(streams.symbol_layers(pivots.top_by_year(_by_year(t), 20)))
 
 
-@query
-def series_inside_out(t: Lens) -> DataFrame:
-    return layers.inside_out_order(_layers(t))
-
-
 @query
 def layers_symmetric(t: Lens) -> DataFrame:
     return _stacked(t, "symmetric")
@@ -474,11 +468,6 @@ def layers_wiggle(t: Lens) -> DataFrame:
     return _stacked(t, "wiggle")
 
 
-@query
-def layers_inside_out(t: Lens) -> DataFrame:
-    return _stacked(t, "zero", "inside_out")
-
-
 @query
 def layers_alternating(t: Lens) -> DataFrame:
     return _alternating(t, "zero")

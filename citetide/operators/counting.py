@@ -28,12 +28,13 @@ def greatest_by(df: DataFrame, keys: Sequence[str], column: str = "citations") -
 
 
 def first_by(df: DataFrame, keys: Sequence[str], columns: Sequence[str], copies: str | None = None) -> DataFrame:
-    """One row per key: the smallest combination of ``columns``, optionally with the number of rows."""
-    found = [F.min(F.struct(*columns)).alias("_first")]
+    """One row per key: the smallest combination of ``columns``, nulls last, optionally with the number of rows."""
+    ordered = [part for c in columns for part in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))]
+    found = [F.min(F.struct(*ordered)).alias("_first")]
     if copies:
         found.append(F.count("*").alias(copies))
     kept = df.groupBy(*keys).agg(*found)
-    return kept.select(*keys, "_first.*", *([copies] if copies else []))
+    return kept.select(*keys, *(f"_first.{c}" for c in columns), *([copies] if copies else []))
 
 
 def roll_up(by_year: DataFrame, drop: Sequence[str] = ("year",)) -> DataFrame:

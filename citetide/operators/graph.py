@@ -32,21 +32,22 @@ def pagerank(edges: DataFrame, iterations: int, damping: float = 0.85, checkpoin
     links = links.repartition(partitions, *keys).persist(StorageLevel.MEMORY_AND_DISK)
     degrees = links.groupBy("src").agg(F.count("*").alias("degree"))
     degrees = degrees.repartition(partitions, "src").persist(StorageLevel.MEMORY_AND_DISK)
-    # the planner trusts the partitioning of a persisted table only once it is filled
-    for table in (links, degrees):
-        table.count()
-
-    ranks = degrees.select(F.col("src").alias("node"), F.lit(1.0).alias("rank"))
-    for done in range(1, iterations + 1):
-        shares = degrees.join(ranks.withColumnRenamed("node", "src"), "src")
-        shares = shares.select("src", (F.col("rank") / F.col("degree")).alias("share"))
-        if hot:
-            shares = replicate(shares, ["src"], hot, "salt")
-        received = links.join(shares, keys).groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("got"))
-        ranks = received.select("node", (F.col("got") * damping + (1 - damping)).alias("rank"))
-        if done % checkpoint_every == 0 and done < iterations:
-            ranks = pin(ranks)
-    result = pin(ranks)
-    degrees.unpersist()
-    links.unpersist()
-    return result
+    try:
+        # the planner trusts the partitioning of a persisted table only once it is filled
+        for table in (links, degrees):
+            table.count()
+
+        ranks = degrees.select(F.col("src").alias("node"), F.lit(1.0).alias("rank"))
+        for done in range(1, iterations + 1):
+            shares = degrees.join(ranks.withColumnRenamed("node", "src"), "src")
+            shares = shares.select("src", (F.col("rank") / F.col("degree")).alias("share"))
+            if hot:
+                shares = replicate(shares, ["src"], hot, "salt")
+            received = links.join(shares, keys).groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("got"))
+            ranks = received.select("node", (F.col("got") * damping + (1 - damping)).alias("rank"))
+            if done % checkpoint_every == 0 and done < iterations:
+                ranks = pin(ranks)
+        return pin(ranks)
+    finally:
+        degrees.unpersist()
+        links.unpersist()

@@ -7,9 +7,8 @@ Graphs - Geometry & Aesthetics" (2008).
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,49 +39,10 @@ def onset_order(layers: DataFrame, small: bool | None = None) -> DataFrame:
     return global_index(onset, [F.asc_nulls_last("onset"), F.asc("series")], small=small)
 
 
-def inside_out_order(layers: DataFrame, small: bool | None = None) -> DataFrame:
-    """``series, side, position``: each next series joins the lighter side; the upper side is turned round.
-
-    The choice for a series depends on all before it, so it is made in one ordered pass over the series
-    totals (never over the values), holding two running weights. Without a ``position`` column the series
-    are taken in name order.
-    """
-    given = "position" in layers.columns
-    keys = ["series", "position"] if given else ["series"]
-    totals = layers.groupBy(*keys).agg(F.sum(F.col("value").cast("double")).alias("total"))
-    if not given:
-        totals = global_index(totals, [F.asc("series")], small=small)
-    start = totals.select("series", "position", "total").repartition(1).sortWithinPartitions("position")
-    schema = f"series {totals.schema['series'].dataType.simpleString()}, position bigint, side string"
-    sided = start.mapInPandas(_lighter_side, schema)
-    upper = F.col("side") == "upper"
-    turned = sided.select(
-        "series",
-        "side",
-        F.when(upper, 0).otherwise(1).alias("_half"),
-        F.when(upper, -F.col("position")).otherwise(F.col("position")).alias("_turn"),
-    )
-    return global_index(turned, [F.asc("_half"), F.asc("_turn")], small=small).drop("_half", "_turn")
-
-
-def _lighter_side(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    above = below = 0.0
-    for batch in batches:
-        sides = []
-        for total in batch["total"]:
-            if above < below:
-                sides.append("upper")
-                above += total
-            else:
-                sides.append("lower")
-                below += total
-        yield pd.DataFrame({"series": batch["series"], "position": batch["position"], "side": sides})
-
-
-def order_series(layers: DataFrame, how: str = "onset", small: bool | None = None) -> DataFrame:
-    """Add ``position`` by ``onset`` or ``inside_out`` to a layer table. The result is a written table, as
-    the baseline and the stacking both read it."""
-    order = {"onset": onset_order, "inside_out": inside_out_order}[how](layers, small)
+def order_series(layers: DataFrame, small: bool | None = None) -> DataFrame:
+    """Add ``position`` in onset order to a layer table. The result is a written table, as the baseline and the
+    stacking both read it."""
+    order = onset_order(layers, small)
     return pin(layers.drop("position").join(order.select("series", "position"), "series"))
 
 

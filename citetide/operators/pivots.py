@@ -15,8 +15,9 @@ from citetide.operators.counting import sum_by, year_range
 from citetide.operators.topk import top_per_group
 
 
-def _years(by_year: DataFrame) -> list[int]:
-    bounds = year_range(by_year).first()  # one row
+def year_labels(dated: DataFrame) -> list[int]:
+    """All years from the first to the last in a table with a ``year``."""
+    bounds = year_range(dated).first()  # one row
     return [] if bounds.min_year is None else list(range(bounds.min_year, bounds.max_year + 1))
 
 
@@ -31,12 +32,12 @@ def _wide(df: DataFrame, label: Column, labels: Sequence[int], agg) -> DataFrame
 
 def pivot_years(by_year: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
     """Symbol by year. Of several genes that share a symbol in a year, the smallest count is shown."""
-    return _wide(by_year, F.col("year"), years or _years(by_year), F.min)
+    return _wide(by_year, F.col("year"), years or year_labels(by_year), F.min)
 
 
 def pivot_decades(by_year: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
     """Symbol by decade (named by its first year), summed over years and genes."""
-    return _wide(by_year, decade(F.col("year")), _decades(years or _years(by_year)), F.sum)
+    return _wide(by_year, decade(F.col("year")), _decades(years or year_labels(by_year)), F.sum)
 
 
 def top_by_year(by_year: DataFrame, n: int = 20) -> DataFrame:
@@ -47,7 +48,7 @@ def top_by_year(by_year: DataFrame, n: int = 20) -> DataFrame:
 
 def pivot_top(by_year: DataFrame, n: int = 20, years: Sequence[int] | None = None) -> DataFrame:
     """Symbol by decade over the yearly top ``n`` only."""
-    return pivot_decades(top_by_year(by_year, n), years or _years(by_year))
+    return pivot_decades(top_by_year(by_year, n), years or year_labels(by_year))
 
 
 def symbol_totals(by_year: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@
    the large side is not shuffled, so its key distribution does not matter.
 2. Otherwise a frequent-items sketch finds the keys above ``SHARE`` of the left rows. With none, the
    join is again left to Spark and can reuse an existing partitioning.
-3. Rows of the found keys are spread over ``SALTS`` sub-keys by a hash of their other columns, and the
+3. Keys are hashed in the type in which the join compares them, on both sides. Rows of the found keys are spread over ``SALTS`` sub-keys by a hash of their other columns, and the
    matching right rows are repeated once per sub-key. All other keys keep a single copy.
 
 The sketch only chooses the layout. The result is the same whichever keys it names, and salts come from
@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A key above this share of the rows is spread.
 SHARE = 1 / 4000
@@ -41,12 +42,27 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 def is_small(df: DataFrame) -> bool:
     """Whether the estimate is within the session's broadcast threshold."""
-    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = estimated_bytes(df)
-    return size is not None and size <= threshold
-
-
-def hot_keys(df: DataFrame, on: Sequence[str]) -> list[int]:
+    return size is not None and size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
+def comparable(left: DataFrame, right: DataFrame, on: Sequence[str]) -> list[Column] | None:
+    """The key columns in the types in which a join of the two sides compares them, or None if a key is a string
+    with a collation: equal strings may then have different hashes."""
+    keys = []
+    for name in on:
+        types = [side.schema[name].dataType for side in (left, right)]
+        if any(isinstance(t, StringType) and not t.isUTF8BinaryCollation() for t in types):
+            return None
+        key = F.col(name)
+        if types[0] != types[1]:
+            common = F.coalesce(*(F.lit(None).cast(t) for t in types)).alias("key")
+            key = key.cast(left.sparkSession.range(1).select(common).schema["key"].dataType)
+        keys.append(key)
+    return keys
+
+
+def hot_keys(df: DataFrame, on: Sequence[str | Column]) -> list[int]:
     """Hashes of the keys that hold more than ``SHARE`` of the rows (at most ``REPORTED`` numbers)."""
     partial = (
         df.select(F.xxhash64(*on).alias("key"), F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("part"))
@@ -60,18 +76,18 @@ def hot_keys(df: DataFrame, on: Sequence[str]) -> list[int]:
     return [] if not found.n else [item["item"] for item in found.top if item["count"] > SHARE * found.n]
 
 
-def is_hot(on: Sequence[str], hot: list[int]) -> Column:
+def is_hot(on: Sequence[str | Column], hot: list[int]) -> Column:
     return F.xxhash64(*on).isin(hot) if hot else F.lit(False)
 
 
-def spread(df: DataFrame, on: Sequence[str], hot: list[int], name: str, by: Sequence[str] | None = None) -> DataFrame:
-    """Add sub-key ``name``: a hash of ``by`` for hot keys, 0 for the others."""
-    by = list(by or [c for c in df.columns if c not in on]) or list(on)
+def spread(df: DataFrame, on: Sequence[str | Column], hot: list[int], name: str, by: Sequence[str] | None = None) -> DataFrame:
+    """Add sub-key ``name``: a hash of ``by`` (all columns by default) for hot keys, 0 for the others."""
+    by = list(by or df.columns)
     salt = F.when(is_hot(on, hot), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(F.lit(0))
     return df.withColumn(name, salt.cast("int"))
 
 
-def replicate(df: DataFrame, on: Sequence[str], hot: list[int], name: str) -> DataFrame:
+def replicate(df: DataFrame, on: Sequence[str | Column], hot: list[int], name: str) -> DataFrame:
     """Repeat the rows of hot keys once per sub-key; others get sub-key 0 only."""
     salts = F.when(is_hot(on, hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return df.withColumn(name, F.explode(salts))
@@ -92,7 +108,8 @@ def skew_join(
 ) -> DataFrame:
     """Join ``left`` to ``right`` on equal columns when keys of ``left`` may be hot.
 
-    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. ``by`` names the left columns that
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. Keys may differ in type. Strings with a
+    collation are joined without salts. ``by`` names the left columns that
     spread a hot key (all others by default). With ``both`` (inner only) the hot keys of the right side
     are spread too, so a key that is hot on both sides is worked on as a grid of sub-keys.
 
@@ -104,6 +121,9 @@ def skew_join(
     if both and how != "inner":
         raise ValueError("both sides can be spread only for an inner join")
     hot_right: list[int] = []
+    compared = comparable(left, right, on)
+    if compared is None:
+        return left.join(right, on, how)
     if hot is None:
         if is_small(right):
             return left.join(right, on, how)
@@ -111,19 +131,19 @@ def skew_join(
             return left.join(F.broadcast(right), on, how)
         if how == "inner" and is_small(left if bound_left is None else bound_left):
             return F.broadcast(left).join(right, on, how)
-        hot = hot_keys(left if probe is None else probe, on)
+        hot = hot_keys(left if probe is None else probe, compared)
         if both:
-            hot_right = hot_keys(right if probe_right is None else probe_right, on)
+            hot_right = hot_keys(right if probe_right is None else probe_right, compared)
     if not hot and not hot_right:
         return left.join(right, on, how)
     keys = list(on)
     if hot:
-        left = spread(left, on, hot, "_salt_left", by)
-        right = replicate(right, on, hot, "_salt_left")
+        left = spread(left, compared, hot, "_salt_left", by)
+        right = replicate(right, compared, hot, "_salt_left")
         keys.append("_salt_left")
     if hot_right:
         others = [c for c in right.columns if c not in (*on, "_salt_left")]
-        right = spread(right, on, hot_right, "_salt_right", others)
-        left = replicate(left, on, hot_right, "_salt_right")
+        right = spread(right, compared, hot_right, "_salt_right", others)
+        left = replicate(left, compared, hot_right, "_salt_right")
         keys.append("_salt_right")
     return left.join(right, keys, how).drop("_salt_left", "_salt_right")

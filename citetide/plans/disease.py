@@ -11,21 +11,24 @@ def register_gene_diseases(associations: DataFrame, view: str = "gene_diseases")
     return register(associations, view)
 
 
-def top_association(associations: DataFrame, association_type: str = "GeneticVariation") -> DataFrame:
+def top_association(
+    associations: DataFrame, association_type: str = "GeneticVariation", view: str = "gene_diseases"
+) -> DataFrame:
     """The association of a type with the most publications; equal ones in gene and disease order."""
-    session = register_gene_diseases(associations).sparkSession
+    session = register_gene_diseases(associations, view).sparkSession
     return session.sql(
         """
-        SELECT * FROM gene_diseases WHERE associationType = :type
+        SELECT * FROM IDENTIFIER(:view) WHERE associationType = :type
         ORDER BY NumberOfPubmeds DESC, geneId, diseaseId LIMIT 1
         """,
-        {"type": association_type},
+        {"type": association_type, "view": view},
     )
 
 
-def associated_genes(associations: DataFrame, association_type: str = "GeneticVariation") -> DataFrame:
+def associated_genes(
+    associations: DataFrame, association_type: str = "GeneticVariation", view: str = "gene_diseases", results: str = "results"
+) -> DataFrame:
     """Genes of a type's associations, registered as the view ``results`` and read back from it."""
-    session = register_gene_diseases(associations).sparkSession
-    genes = session.sql("SELECT geneId FROM gene_diseases WHERE associationType = :type", {"type": association_type})
-    register(genes, "results")
-    return session.sql("SELECT * FROM results")
+    session = register_gene_diseases(associations, view).sparkSession
+    statement = "SELECT geneId FROM IDENTIFIER(:view) WHERE associationType = :type"
+    return register(session.sql(statement, {"type": association_type, "view": view}), results)

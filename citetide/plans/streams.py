@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from citetide.operators.layers import (
     alternate_baseline,
@@ -22,17 +23,19 @@ def type_layers(by_year: DataFrame) -> DataFrame:
 
 
 def symbol_layers(top: DataFrame) -> DataFrame:
-    """Layers of the symbols in ``pivots.top_by_year``: ``series, x, value``."""
-    return densify(top, "symbol", "year", "citations")
+    """Layers of the symbols in ``pivots.top_by_year``: ``series, x, value``. Of several genes that share a symbol in
+    a year, the smallest count is shown, as in ``pivots.pivot_years``."""
+    shown = top.groupBy("symbol", "year").agg(F.min("citations").alias("citations"))
+    return densify(shown, "symbol", "year", "citations")
 
 
-def stacked_layers(layers: DataFrame, order: str = "onset", how: str = "wiggle", yoffset: float = 0.0) -> DataFrame:
-    """Layers in ``order``, stacked upwards from the baseline ``how``."""
-    ordered = order_series(layers, order)
+def stacked_layers(layers: DataFrame, how: str = "wiggle", yoffset: float = 0.0) -> DataFrame:
+    """Layers in onset order, stacked upwards from the baseline ``how``."""
+    ordered = order_series(layers)
     return stack(ordered, baseline(ordered, how), yoffset)
 
 
 def alternating_layers(layers: DataFrame, how: str = "wiggle") -> DataFrame:
     """Layers in onset order, stacked by turns above and below, measured from the baseline ``how``."""
-    bounds = alternate_bounds(order_series(layers, "onset"))
+    bounds = alternate_bounds(order_series(layers))
     return layer_outlines(bounds, alternate_baseline(bounds, how))

@@ -1,4 +1,4 @@
-"""Writers. Every writer replaces its target and writes in parallel."""
+"""Writers. Every writer replaces its target (daily files: the days it writes) and writes in parallel."""
 
 from __future__ import annotations
 
@@ -6,8 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from citetide.functions.scalars import MISSING
+from citetide.schemas import ANNOTATIONS, named
+
+#: Columns of the transcript tables.
+_TRANSCRIPT = ["refseq_id", "chrom", "tx_start", "tx_end", "symbol", "description", "type_of_gene", "citations"]
+
+
+#: Signs that would end a field or a line of text, or that the writer would take as quotes and comments.
+BREAKS = "\t\n\r\0\1"
 
 
 def write_table(
@@ -23,9 +32,16 @@ def write_table(
 def write_tsv(
     df: DataFrame, path: str, header: bool = False, partition_by: Sequence[str] = (), null: str = ""
 ) -> None:
-    """Tab-separated text without quoting; a null is an empty field."""
-    text = {"sep": "\t", "header": header, "quote": "", "escape": "", "escapeQuotes": False}
-    write_table(df, path, "csv", partition_by, nullValue=null, emptyValue="", **text)
+    """Tab-separated text without quoting; a null is an empty field.
+
+    Blanks around values, quotes and ``#`` are kept. Tabs, line breaks and the signs 0 and 1 inside a text cannot be
+    written without quoting: each becomes a blank.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and f.name not in partition_by]
+    df = df.withColumns({name: F.translate(F.col(f"`{name}`"), BREAKS, " " * len(BREAKS)) for name in texts})
+    text = {"sep": "\t", "header": header, "quote": "", "escape": "", "escapeQuotes": False, "comment": "\1"}
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    write_table(df, path, "csv", partition_by, nullValue=null, emptyValue="", **text, **blanks)
 
 
 def register(df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +62,21 @@ def write_by_year(by_year: DataFrame, path: str) -> None:
     write_tsv(by_year.select(*columns), path)
 
 
+def write_transcript_by_year(by_year: DataFrame, path: str) -> None:
+    """Yearly counts on transcripts, 11 columns: taxon, gene, year, transcript, locus, gene attributes, count."""
+    write_tsv(by_year.select("tax_id", "gene_id", "year", *_TRANSCRIPT), path)
+
+
+def write_transcript_totals(totals: DataFrame, path: str) -> None:
+    """All-time counts on transcripts: the same columns without the year."""
+    write_tsv(totals.select("tax_id", "gene_id", *_TRANSCRIPT), path)
+
+
+def write_annotations(annotations: DataFrame, path: str) -> None:
+    """The annotation table in the order of ``sources.read_annotations``."""
+    write_tsv(annotations.select(*named(ANNOTATIONS)), path)
+
+
 def write_ranked(ranked: DataFrame, path: str) -> None:
     """The yearly ranking with its header."""
     renamed = ranked.select(

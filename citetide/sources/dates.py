@@ -53,6 +53,7 @@ def extract_ids(responses: DataFrame, text: Column | str = "text", name: str = "
 
 
 def write_daily_dates(ids: DataFrame, folder: str) -> None:
-    """``pub_date, pmid`` rows as one folder per day with ``YYYY-MM-DD pmid`` lines; empty days have none."""
+    """``pub_date, pmid`` rows as one folder per day with ``YYYY-MM-DD pmid`` lines; empty days have none.
+    Days that are not among the rows stay as they are."""
     lines = ids.select("pub_date", iso_day(F.col("pub_date")).alias("day"), "pmid")
-    write_table(lines, folder, "csv", ["pub_date"], sep=" ", extension="ssv")
+    write_table(lines, folder, "csv", ["pub_date"], sep=" ", extension="ssv", partitionOverwriteMode="dynamic")

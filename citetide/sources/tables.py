@@ -61,9 +61,15 @@ def read_interactions(spark: SparkSession, path: Path) -> DataFrame:
 
 
 def read_gene_disease(spark: SparkSession, path: Path) -> DataFrame:
-    """Columns named by the header line, all text except ``NumberOfPubmeds``."""
-    rows = spark.read.option("header", True).option("sep", "\t").option("quote", "").csv(path)
-    return rows.withColumn("NumberOfPubmeds", F.col("NumberOfPubmeds").cast("int"))
+    """Columns named by the header line, all text except ``NumberOfPubmeds``. Short or long lines, and files with
+    another header, stop the job."""
+    header = spark.read.text(path).first()  # one line
+    if header is None:
+        raise ValueError(f"no header line in {path}")
+    kinds = {"NumberOfPubmeds": T.IntegerType()}
+    schema = T.StructType([T.StructField(name, kinds.get(name, T.StringType())) for name in header.value.split("\t")])
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+    return reader.option("sep", "\t").option("quote", "").option("mode", "FAILFAST").csv(path)
 
 
 def read_annotations(spark: SparkSession, path: Path) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citetide import sinks, sources, streaming
 from citetide.functions import filters, scalars
-from citetide.operators import counting
+from citetide.operators import counting, pivots
 from citetide.plans import annotations, citations, columns, coverage, daily, disease, ranking, refgene, transcripts
 
 
@@ -342,11 +342,51 @@ def test_table_sinks(spark, tables, tmp_path, values):
     table = annotations.gene_annotations(
         tables["gene_info"], tables["gene2pubmed"], tables["gene2refseq"], tables["refgene"]
     )
-    sinks.write_tsv(table, str(tmp_path / "annotations"))
+    sinks.write_annotations(table, str(tmp_path / "annotations"))
     assert values(sources.read_annotations(spark, str(tmp_path / "annotations"))) == values(table)
     assert values(sinks.register(table, "annotations").sparkSession.table("annotations")) == values(table)
 
 
+def test_text_keeps_its_values(spark, tmp_path):
+    rows = [("  lead", 1), ("trail  ", 2), ("#5", 3), ('a "quoted" \\ word', 4), ("a\tb\nc\rd", 5), (None, 6), ("", 7)]
+    sinks.write_tsv(spark.createDataFrame(rows, "name string, n int"), str(tmp_path / "text"))
+    assert lines(tmp_path / "text") == sorted(
+        ["  lead\t1", "trail  \t2", "#5\t3", 'a "quoted" \\ word\t4', "a b c d\t5", "\t6", "\t7"]
+    )
+
+
+def test_daily_files_keep_earlier_days(spark, tmp_path, values):
+    for day, pmid in (("2000-01-01", 1), ("2000-01-02", 2), ("2000-01-02", 3)):
+        ids = spark.createDataFrame([(day, pmid)], "day string, pmid bigint")
+        sources.write_daily_dates(ids.select(F.to_date("day").alias("pub_date"), "pmid"), str(tmp_path / "days"))
+    assert values(sources.read_daily_dates(spark, str(tmp_path / "days")), "pmid") == [(1,), (3,)]
+
+
+def test_transcript_writers(spark, tmp_path):
+    row = spark.sql(
+        """SELECT 9606 AS tax_id, 1L AS gene_id, 1999 AS year, 'NM_1' AS refseq_id, 'chr1' AS chrom, 5L AS tx_start,
+                  9L AS tx_end, 'A1' AS symbol, 'first' AS description, 'coding' AS type_of_gene, 4L AS citations"""
+    )
+    sinks.write_transcript_by_year(row, str(tmp_path / "years"))
+    sinks.write_transcript_totals(row, str(tmp_path / "totals"))
+    assert lines(tmp_path / "years") == ["9606\t1\t1999\tNM_1\tchr1\t5\t9\tA1\tfirst\tcoding\t4"]
+    assert lines(tmp_path / "totals") == ["9606\t1\tNM_1\tchr1\t5\t9\tA1\tfirst\tcoding\t4"]
+
+
+def test_short_association_lines_stop_the_job(spark, tmp_path):
+    path = tmp_path / "short.tsv"
+    path.write_text("geneId\tdiseaseId\tNumberOfPubmeds\n1\tD1\t3\n2\tD2\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        sources.read_gene_disease(spark, str(path)).collect()
+
+
+def test_wide_table_has_every_year(spark):
+    rows = spark.createDataFrame([("a", 1801, 2), ("a", 1803, 1)], "symbol string, year int, citations bigint")
+    wide = pivots.pivot_years(rows)
+    assert wide.columns == ["symbol", "1801", "1802", "1803"]
+    assert tuple(wide.first()) == ("a", 2, None, 1)
+
+
 def test_daily_stream(spark, files, tmp_path, values):
     for _ in range(2):  # the second run finds nothing new
         query = streaming.append_daily_dates(

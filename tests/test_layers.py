@@ -31,7 +31,7 @@ def table(spark, request, monkeypatch):
 
 @pytest.fixture
 def ordered(table):
-    return layers.order_series(table, "onset")
+    return layers.order_series(table)
 
 
 def by_cell(df, *columns):
@@ -61,26 +61,6 @@ def test_onset_order(table):
     assert [s for s, _ in sorted(order.items(), key=lambda kv: kv[1])] == ONSET
 
 
-def test_inside_out_order(table):
-    upper, lower, above, below = [], [], 0, 0
-    for name in sorted(SERIES):
-        if above < below:
-            upper.append(name)
-            above += sum(SERIES[name])
-        else:
-            lower.append(name)
-            below += sum(SERIES[name])
-    found = sorted((r.position, r.series, r.side) for r in layers.inside_out_order(table).collect())
-    assert [s for _, s, _ in found] == upper[::-1] + lower
-    assert {s for _, s, side in found if side == "upper"} == set(upper)
-
-
-def test_given_order_is_kept(table):
-    placed = table.withColumn("position", (F.ascii("series") * -1 + F.ascii(F.lit("e"))).cast("bigint"))
-    found = sorted((r.position, r.series) for r in layers.inside_out_order(placed).collect())
-    assert [s for _, s in found] == ["b", "c", "e", "d", "a"]
-
-
 def test_simple_baselines(ordered):
     totals = [sum(column) for column in columns_in_onset_order()]
     assert by_x(layers.baseline(ordered, "symmetric")) == pytest.approx([-t / 2 for t in totals])
@@ -161,6 +141,6 @@ def test_alternating_baselines(ordered):
 
 
 def test_heights_add_up_to_the_values(table):
-    stacked = streams.stacked_layers(table, "inside_out", "wiggle")
+    stacked = streams.stacked_layers(table, "wiggle")
     height = stacked.agg(F.sum(F.col("upper") - F.col("lower"))).first()[0]
     assert height == pytest.approx(sum(map(sum, SERIES.values())))

@@ -63,6 +63,30 @@ def test_skew_join_equals_join(spark, salted, values, how):
     assert values(joined) == values(df.join(dim, "k", how))
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("kinds", [("int", "bigint"), ("bigint", "int"), ("int", "string"), ("decimal(9,2)", "bigint")])
+def test_skew_join_of_keys_with_different_types(spark, salted, values, how, kinds):
+    df, _ = facts(spark)
+    dim = spark.createDataFrame([(k, f"d{k}") for k in (None, 7, 3, 5, 99)], "k bigint, d string")
+    df, dim = df.withColumn("k", F.col("k").cast(kinds[0])), dim.withColumn("k", F.col("k").cast(kinds[1]))
+    joined, plain = skew.skew_join(df, dim, "k", how), df.join(dim, "k", how)
+    assert "_salt_left" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.schema == plain.schema
+    assert values(joined) == values(plain)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_skew_join_of_collated_keys(spark, salted, values, how):
+    df = spark.range(400).select(F.expr("if(id % 3 = 0, 'Ab', 'aB') collate utf8_lcase").alias("k"), "id")
+    dim = spark.sql("select 'AB' collate utf8_lcase as k, 1 as d")
+    assert values(skew.skew_join(df, dim, "k", how)) == values(df.join(dim, "k", how))
+
+
+def test_first_row_prefers_values_to_nulls(spark, values):
+    df = spark.createDataFrame([(1, "a", "x"), (1, None, "q"), (2, None, None)], "k int, s string, t string")
+    assert values(counting.first_by(df, ["k"], ["s", "t"])) == [(1, "a", "x"), (2, None, None)]
+
+
 def test_skew_join_spreads_both_sides(spark, salted, values):
     df, _ = facts(spark, 120)
     other = df.select("k", F.col("v").alias("w"))
