@@ -12,8 +12,8 @@ are judged on the input, overlaps count, and matches stay within a document.
    is made by induced sorting: suffixes are classified, the leftmost-smaller substrings named and sorted, by
    recursion where names repeat, and all other suffixes induced from them in two linear scans. Permuted common
    prefixes tell which windows equal another's.
-4. An anchor with more than ``GROUP`` different segments would not fit a task. Its windows are spread by their own
-   digests and counted instead.
+4. An anchor whose different segments take more than ``GROUP`` bytes would not fit a task. Its windows are spread
+   by their own digests and counted instead.
 
 Texts are UTF-8 bytes; a null text is empty. Texts shorter than ``LENGTH`` keep everything. Repeated rows are
 copies of each other. Texts are told apart by two 64-bit hashes, segments by the anchor and two more.
@@ -22,6 +22,7 @@ copies of each other. Texts are told apart by two 64-bit hashes, segments by the
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,10 @@ from .membership import build, sift
 from .textblocks import U64, SpanHasher, blocks
 
 LENGTH, GRAM = 400, 32
-#: Different segments of an anchor that one task sorts, and bytes of a shard that holds several anchors.
-GROUP, SHARD = 8192, 1 << 19
+#: Bytes of the different segments of an anchor that one task sorts, and of a shard that holds several anchors.
+GROUP, SHARD = 1 << 21, 1 << 18
+#: Text bytes that are cut into segments at once; a longer text is worked on alone.
+BLOCK = 1 << 19
 _TEXT = ["t1", "t2"]
 
 
@@ -60,12 +63,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     order = _induce(text, smaller, places, ends)
     # name the leftmost-smaller substrings in the order found
     ranked = order[leftmost[order]]
-    following = np.append(places[1:], size - 1)
-    stop = dict(zip(places.tolist(), following.tolist()))
+    stop = np.append(places[1:], size - 1)[np.searchsorted(places, ranked)]
     raw, width = text.tobytes(), text.itemsize
     names, name, last = np.zeros(size, np.int64), -1, None
-    for place in ranked.tolist():
-        substring = raw[place * width : (stop[place] + 1) * width]
+    for place, end in zip(array("q", ranked.tobytes()), array("q", stop.tobytes())):
+        substring = raw[place * width : (end + 1) * width]
         if substring != last:
             name, last = name + 1, substring
         names[place] = name
@@ -86,7 +88,7 @@ def _induce(text: np.ndarray, smaller: np.ndarray, places: np.ndarray, ends: np.
     behind = np.searchsorted(grouped, grouped, side="right") - np.arange(len(grouped))
     start = np.full(size, -1, np.int64)
     start[ends[grouped] - behind] = places[rank]
-    found = start.tolist()
+    found = array("q", start.tobytes())
     letter, kind = text.tolist(), smaller.tobytes()
     head = np.concatenate([[0], ends[:-1]]).tolist()
     for place in found:  # grows behind the scan
@@ -104,7 +106,7 @@ def _induce(text: np.ndarray, smaller: np.ndarray, places: np.ndarray, ends: np.
             tail[letter[place]] = at
             found[at] = place
     found[0] = size - 1
-    return np.array(found)
+    return np.frombuffer(found, np.int64)
 
 
 def repeated(text: bytes, order: np.ndarray, length: int) -> np.ndarray:
@@ -116,7 +118,7 @@ def repeated(text: bytes, order: np.ndarray, length: int) -> np.ndarray:
     flags = bytearray(len(text))
     size = len(text)
     common = 0
-    for i, k in enumerate(before.tolist()):
+    for i, k in enumerate(array("q", before.tobytes())):
         if k < 0:
             common = 0
             continue
@@ -182,7 +184,7 @@ def _segments(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = SpanHasher(1), SpanHasher(2)
         for batch in batches:
-            for part, data, offsets in blocks(batch, "text"):
+            for part, data, offsets in blocks(batch, "text", BLOCK):
                 rows, first, n, anchor = segments_of(data, offsets, one.load(data), length, gram)
                 begin = offsets[rows] + first
                 end = begin + n + length - 1
@@ -208,7 +210,7 @@ def _cut(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in blocks(batch, "text"):
+            for part, data, offsets in blocks(batch, "text", BLOCK):
                 wanted = part.column("wanted").to_pylist()
                 held = data.tobytes()
                 rows = [(i, w) for i, ws in enumerate(wanted) for w in ws]
@@ -305,11 +307,11 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
     )
     copied = unique.where("count > 1").select("anchor", "s1", "s2")
     whole = shared.join(copied, ["anchor", "s1", "s2"], "left_semi").select("t1", "t2", "first", "n")
-    groups = unique.groupBy("anchor").agg(F.count("*").alias("different")).where("different > 1")
+    groups = unique.groupBy("anchor").agg(F.count("*").alias("different"), F.sum(F.col("at.n") + length - 1).alias("size")).where("different > 1")
     wanted = (
         unique.join(groups, "anchor")
         .groupBy("at.t1", "at.t2")
-        .agg(F.collect_list(F.struct("anchor", "at.first", "at.n", (F.col("different") > group).alias("crowded"))).alias("wanted"))
+        .agg(F.collect_list(F.struct("anchor", "at.first", "at.n", (F.col("size") > group).alias("crowded"))).alias("wanted"))
     )
     wanted = pin(wanted)
     likely = sift(texts, "t1", build(wanted, "t1"))
@@ -329,7 +331,7 @@ def _strip(length: int, digest: bool, name: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in blocks(batch, "text"):
+            for part, data, offsets in blocks(batch, "text", BLOCK):
                 ranges = part.column("_ranges").to_pylist()
                 null = part.column("text").is_null().to_pylist()
                 removed, runs, left = [], [], []
