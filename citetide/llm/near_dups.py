@@ -38,7 +38,7 @@ from citetide.session import pin
 from .components import components
 from .membership import build, may_contain, sift
 from .rows import fresh
-from .textblocks import U64, SpanHasher, blocks, fold_table, mix, spans, uniform, windows, word_table
+from .textblocks import U64, SpanHasher, blocks, bound_batches, fold_table, mix, spans, uniform, windows, word_table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 6
@@ -274,6 +274,7 @@ def centres(members: DataFrame) -> DataFrame:
 def classes(documents: DataFrame, counted: bool = False) -> DataFrame:
     """``doc_id``, ``node`` (hash of the text), ``component`` (smallest node of the class; null for a null text) and
     ``class_id`` (smallest id of the class) of every document."""
+    bound_batches(documents.sparkSession)
     texts = documents.select("doc_id", F.xxhash64("text").alias("node"), "text")
     known = texts.where("text is not null")
     rows = pin(known.mapInArrow(_banded(counted), "doc_id long, node long, bands array<long>"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rows import fresh, with_fields
-from .textblocks import U64, SpanHasher, blocks, mix, uniform
+from .textblocks import U64, SpanHasher, blocks, bound_batches, mix, uniform
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, ALPHA = 2, 2.0
@@ -345,6 +345,7 @@ def encode(
 ) -> DataFrame:
     """The documents with ``pieces`` (array of ids), drawn by a hash of the columns ``keys``. With ``check`` each
     text is decoded again at once and ``lossless`` tells whether that gave the same bytes."""
+    bound_batches(documents.sparkSession)
     with open(model, "rb") as file:
         held = file.read()
     names = [fresh(documents, "pieces")] + [fresh(documents, "lossless")] * check

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from citetide.session import pin
 
 from .rows import fresh, with_fields
-from .textblocks import U64, SpanHasher, blocks, mix, row_sums, spans, windows
+from .textblocks import U64, SpanHasher, blocks, bound_batches, mix, row_sums, spans, windows
 
 BUCKETS = 1 << 14
 #: At most so many labelled rows, the first by a hash of their id, fit the target model and the cut.
@@ -101,6 +101,7 @@ def labelled(labels: DataFrame, limit: int = LABELLED) -> DataFrame:
 
 def fit(documents: DataFrame, sample: DataFrame) -> np.ndarray:
     """Log ratio of target to raw for each bucket, from all documents; ``sample`` is :func:`labelled`."""
+    bound_batches(documents.sparkSession)
     rows = documents.join(F.broadcast(sample), F.col("doc_id") == F.col("_id"), "left").select(
         "text", F.coalesce("_good", F.lit(False)).alias("good")
     )

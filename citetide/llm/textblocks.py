@@ -7,13 +7,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Text bytes worked on at once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
+
+#: Rows and bytes that Spark sends to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 U64 = np.uint64
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session send rows to Python in batches of bounded size, unless its own are smaller."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = spark.conf.get(key)
+        if not held.rstrip("b").isdigit() or not 0 < int(held.rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of ``batch`` with the bytes of their texts (null: empty) and the row offsets into them."""
     index = batch.schema.get_field_index(column)
