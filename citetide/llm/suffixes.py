@@ -8,6 +8,9 @@ are judged on the input, overlaps count, and matches stay within a document.
    of the same anchor. Consecutive windows of one anchor make up one segment of the text.
 2. Segments whose anchor occurs once are unique. Equal segments are collapsed to one with a count; with a count of
    two all its windows are repeated.
+   A window reaches half its remaining length or more beyond its anchor on one side. So a segment whose anchor has,
+   with that much text before it and also with that much text behind it, no equal in another segment holds no
+   repeated window and is left out.
 3. The different segments of an anchor are joined to a shard, whole anchors together, and the shard's suffix array
    is made by induced sorting: suffixes are classified, the leftmost-smaller substrings named and sorted, by
    recursion where names repeat, and all other suffixes induced from them in two linear scans. Permuted common
@@ -153,11 +156,12 @@ def shard_flags(segments: list[bytes], length: int) -> list[np.ndarray]:
 
 
 def segments_of(data: np.ndarray, offsets: np.ndarray, hasher: SpanHasher, length: int, gram: int):
-    """Row, first window (within the row), number of windows, and anchor hash of the segments of a block."""
+    """Row, first window (within the row), number of windows, anchor hash and anchor (within the block) of the
+    segments of a block."""
     count = len(data) - length + 1
     if count <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(U64)
+        return none, none, none, none.astype(U64), none
     at = np.arange(len(data) - gram + 1)
     grams = hasher.of(at, at + gram)
     least = (grams & U64(0xFFFFFFFF00000000)) | at.astype(U64)
@@ -171,23 +175,29 @@ def segments_of(data: np.ndarray, offsets: np.ndarray, hasher: SpanHasher, lengt
     starts = np.flatnonzero(np.arange(count) + length <= offsets[row + 1])
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(U64)
+        return none, none, none, none.astype(U64), none
     anchor = (least[starts] & U64(0xFFFFFFFF)).astype(np.int64)
     head = np.ones(len(starts), bool)
     head[1:] = (anchor[1:] != anchor[:-1]) | (row[starts[1:]] != row[starts[:-1]])
     first = np.flatnonzero(head)
     rows = row[starts[first]]
-    return rows, starts[first] - offsets[rows], np.diff(np.append(first, len(starts))), grams[anchor[first]]
+    return rows, starts[first] - offsets[rows], np.diff(np.append(first, len(starts))), grams[anchor[first]], anchor[first]
 
 
 def _segments(length: int, gram: int):
+    reach = (length - gram + 1) // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = SpanHasher(1), SpanHasher(2)
         for batch in batches:
             for part, data, offsets in blocks(batch, "text", BLOCK):
-                rows, first, n, anchor = segments_of(data, offsets, one.load(data), length, gram)
+                rows, first, n, anchor, place = segments_of(data, offsets, one.load(data), length, gram)
                 begin = offsets[rows] + first
                 end = begin + n + length - 1
+                # contexts that reach beyond the segment are in none of its windows
+                before, behind = place - reach, place + gram + reach
+                left = pa.array(one.of(np.maximum(before, begin), place + gram).astype(np.int64), mask=before < begin)
+                right = pa.array(one.of(place, np.minimum(behind, end)).astype(np.int64), mask=behind > end)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -198,8 +208,10 @@ def _segments(length: int, gram: int):
                         part.column("t2").take(take),
                         pa.array(first.astype(np.int32)),
                         pa.array(n.astype(np.int32)),
+                        left,
+                        right,
                     ],
-                    ["anchor", "s1", "s2", "t1", "t2", "first", "n"],
+                    ["anchor", "s1", "s2", "t1", "t2", "first", "n", "before", "behind"],
                 )
 
     return run
@@ -298,15 +310,20 @@ def _window_digests(length: int):
 def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, shard: int = SHARD) -> DataFrame:
     """``t1``, ``t2`` (hashes of the text), ``first`` and ``n``: runs of windows that occur elsewhere as well."""
     texts = documents.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text").where("text is not null")
-    found = texts.mapInArrow(_segments(length, gram), f"anchor long, s1 long, s2 long, {_RANGES}")
+    found = texts.mapInArrow(_segments(length, gram), f"anchor long, s1 long, s2 long, {_RANGES}, before long, behind long")
     found = pin(found)
     several = found.groupBy("anchor").agg(F.count("*").alias("count")).where("count > 1").select("anchor")
     shared = pin(found.join(several, "anchor", "left_semi"))
     unique = pin(
-        shared.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("count"), F.min(F.struct("t1", "t2", "first", "n")).alias("at"))
+        shared.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("count"), F.min(F.struct("t1", "t2", "first", "n", "before", "behind")).alias("at"))
     )
     copied = unique.where("count > 1").select("anchor", "s1", "s2")
     whole = shared.join(copied, ["anchor", "s1", "s2"], "left_semi").select("t1", "t2", "first", "n")
+    contexts = F.posexplode(F.array("at.before", "at.behind")).alias("side", "context")
+    sides = unique.select("anchor", "s1", "s2", contexts).where("context is not null")
+    met = sides.groupBy("anchor", "side", "context").agg(F.count("*").alias("count")).where("count > 1")
+    near = sides.join(met, ["anchor", "side", "context"], "left_semi").select("anchor", "s1", "s2").distinct()
+    unique = pin(unique.join(near, ["anchor", "s1", "s2"], "left_semi"))
     groups = unique.groupBy("anchor").agg(F.count("*").alias("different"), F.sum(F.col("at.n") + length - 1).alias("size")).where("different > 1")
     wanted = (
         unique.join(groups, "anchor")
