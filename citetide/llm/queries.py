@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chats, decontaminate, embeddings, languages, near_dups, pieces, quality, suffixes, templates, toxicity
+from . import (
+    chats,
+    codes,
+    collocations,
+    decontaminate,
+    embeddings,
+    languages,
+    near_dups,
+    pieces,
+    quality,
+    secrets,
+    suffixes,
+    templates,
+    toxicity,
+)
 from .sql import STATEMENTS
 
 __all__ = ["REGISTRY", "STATEMENTS"]
@@ -64,4 +78,19 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return decontaminate.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op11_secret_novelty(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every text: counts and digest of the patterns' spans, and all spans."""
+    return secrets.report(_table(spark, folder, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 strongest collocations of each language."""
+    return collocations.report(_table(spark, folder, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Code and errors of every vector, and the digest of the trained codebooks."""
+    return codes.report(_table(spark, folder, "embeddings"))
+
+
 REGISTRY = {name: query for name, query in list(globals().items()) if name.startswith("op")}
