@@ -41,9 +41,11 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 #: Parts of a score, and the share (in hundredths) of a longer phrase that hides the ones inside it.
 SCALE, HIDES = 2_000_000, 80
 #: Phrases of a container before it bursts, and of a task before it spills.
-BURST, ENTRIES = 4096, 600_000
-#: Bits of a word number within a task, and sub-keys of a prefix partition.
-ID_BITS, SUBKEYS = 21, 32
+BURST, ENTRIES = 4096, 300_000
+#: Different words that a task numbers before it spills all and begins again; bits of a number.
+WORDS, ID_BITS = 200_000, 21
+#: Sub-keys of a prefix partition, and rows of a batch that are worked on at once.
+SUBKEYS, ROWS = 32, 512
 UNKNOWN = "und"
 WORD, BLANK, BREAK = 0, 1, 2
 RUNS = "lang string, phrase string, n long"
@@ -113,39 +115,43 @@ class HatTrie:
         else:
             yield head, node
 
-    def spill(self, keep: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Take out whole subtrees, the largest first, until at most ``keep`` phrases are left: first word, packed
-        others and counts of each."""
-        sizes = sorted(((sum(len(c) for _, c in self._walk(n, 0, self.others)), key) for key, n in self.root.items()), reverse=True)
-        for size, key in sizes:
+        others and count of each phrase."""
+        if keep:
+            sizes = {key: sum(len(c) for _, c in self._walk(node, 0, self.others)) for key, node in self.root.items()}
+            order = sorted(sizes, key=sizes.get, reverse=True)
+        else:
+            order = list(self.root)
+        firsts, sizes, heads, rest, counts = [], [], [], [], []
+        for key in order:
             if self.size <= keep:
-                return
-            node = self.root.pop(key)
-            self.size -= size
-            rest, counts = np.empty(size, np.int64), np.empty(size, np.int64)
-            at = 0
-            for head, container in self._walk(node, 0, self.others):
-                end = at + len(container)
-                rest[at:end] = np.fromiter(container.keys(), np.int64, len(container)) | head
-                counts[at:end] = np.fromiter(container.values(), np.int64, len(container))
-                at = end
-            yield key, rest, counts
+                break
+            for head, container in self._walk(self.root.pop(key), 0, self.others):
+                firsts.append(key)
+                sizes.append(len(container))
+                heads.append(head)
+                rest.extend(container)
+                counts.extend(container.values())
+                self.size -= len(container)
+        first, head = (np.repeat(np.array(x, np.int64), sizes) for x in (firsts, heads))
+        return first, np.array(rest, np.int64) | head, np.array(counts, np.int64)
 
 
 class Words:
-    """Numbers of the (language, word) pairs of a task."""
+    """Numbers of the words of a task, each language's apart."""
 
     def __init__(self):
-        self.numbers: dict[tuple[str, bytes], int] = {}
+        self.numbers: dict[str, dict[bytes, int]] = {}
         self.langs: list[str] = []
         self.words: list[bytes] = []
 
     def number(self, lang: str, words: list[bytes]) -> np.ndarray:
-        out, numbers = np.empty(len(words), np.int64), self.numbers
+        out, numbers = np.empty(len(words), np.int64), self.numbers.setdefault(lang, {})
         for i, word in enumerate(words):
-            found = numbers.get((lang, word))
+            found = numbers.get(word)
             if found is None:
-                found = numbers[lang, word] = len(self.words)
+                found = numbers[word] = len(self.words)
                 self.langs.append(lang)
                 self.words.append(word)
             out[i] = found
@@ -225,7 +231,7 @@ class Counter:
             return
         columns = [tokens.codes[at + i] for i in range(self.size)]
         used = np.unique(np.concatenate(columns))
-        if len(self.names.words) + len(used) >= 1 << ID_BITS:
+        if self.names.words and len(self.names.words) + len(used) > WORDS:
             yield from self.runs(0)
             self.names = Words()
         number = np.zeros(len(tokens.words), np.int64)
@@ -243,14 +249,12 @@ class Counter:
 
     def runs(self, keep: int) -> Iterator[pa.RecordBatch]:
         """Spilled subtrees, as rows in the order of their words."""
-        held = list(self.trie.spill(keep))
-        if not held:
+        first, rest, counts = self.trie.spill(keep)
+        if not len(counts):
             return
         words, langs = pa.array(self.names.words, pa.large_binary()), pa.array(self.names.langs, pa.string())
         rank = np.empty(len(words), np.int64)
         rank[pc.array_sort_indices(words).to_numpy()] = np.arange(len(words))
-        first = np.repeat([key for key, _, _ in held], [len(c) for _, _, c in held])
-        rest, counts = (np.concatenate([h[i] for h in held]) for i in (1, 2))
         mask = (1 << ID_BITS) - 1
         others = [rest >> ID_BITS * i & mask for i in reversed(range(self.trie.others))]
         columns = others if self.size == 1 else [first, *others]
@@ -263,15 +267,22 @@ class Counter:
             yield pa.RecordBatch.from_arrays([lang, phrase.cast(pa.string()), pa.array(counts[part])], ["lang", "phrase", "n"])
 
 
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """The rows of each language, some at a time."""
+    for first in range(0, batch.num_rows, ROWS):
+        part = batch.slice(first, ROWS)
+        for lang in pc.unique(part.column("lang")).to_pylist():
+            yield lang, part.filter(pc.equal(part.column("lang"), lang))
+
+
 def _counted(size: int, table: np.ndarray | None, entries: int, burst: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, fold, classes = SpanHasher(), fold_table(), letter_classes()
         counter = Counter(size, table, entries, burst)
         totals: dict[str, int] = {}
         for batch in batches:
-            for lang in pc.unique(batch.column("lang")).to_pylist():
-                mine = batch.filter(pc.equal(batch.column("lang"), lang))
-                for _, data, offsets in blocks(mine, "text"):
+            for lang, part in _by_lang(batch):
+                for _, data, offsets in blocks(part, "text"):
                     tokens = Tokens(data, offsets, hasher, fold, classes)
                     totals[lang] = totals.get(lang, 0) + tokens.count
                     yield from counter.take(lang, tokens)
@@ -287,8 +298,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hash of every phrase, as :func:`phrase_starts` makes it."""
     hasher, fold, classes = SpanHasher(), fold_table(), letter_classes()
     for batch in batches:
-        for lang in pc.unique(batch.column("lang")).to_pylist():
-            mine = batch.filter(pc.equal(batch.column("lang"), lang))
+        for lang, mine in _by_lang(batch):
             for part, data, offsets in blocks(mine, "phrase"):
                 tokens = Tokens(data, offsets, hasher, fold, classes)
                 size = tokens.count // part.num_rows

@@ -169,9 +169,8 @@ def test_tries_split_and_spill():
     assert trie.size == len(held) and any(isinstance(n, collocations.Inner) for n in trie.root.values())
     out = Counter()
     for keep in (trie.size // 2, 0):
-        for first, rest, counts in trie.spill(keep):
-            for r, n in zip(rest.tolist(), counts.tolist()):
-                out[first, r >> 2 * b, r >> b & (1 << b) - 1, r & (1 << b) - 1] += n
+        for first, r, n in zip(*(x.tolist() for x in trie.spill(keep))):
+            out[first, r >> 2 * b, r >> b & (1 << b) - 1, r & (1 << b) - 1] += n
         assert trie.size <= keep
     assert out == held
 
