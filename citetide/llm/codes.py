@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citetide.operators.skew import skew_join
 from citetide.session import pin
 
 from .rows import with_fields
@@ -250,13 +249,13 @@ def decode(codes: DataFrame, books: list[np.ndarray], length: int) -> DataFrame:
 def report(embeddings: DataFrame) -> DataFrame:
     """Code, error, error of all vectors of the label, and digest of the codebooks, of every usable vector.
 
-    A label may hold a third of all rows: errors are added up per label before they meet the rows, and the join
-    spreads the rows of such a label.
+    A label may hold a third of all rows: errors are added up per label before they meet the rows. The sums hold a label
+    once, so adaptive execution splits the rows of such a label where it does not broadcast the sums.
     """
     rows, width = quantised(embeddings)
     books = train(rows, width)
     coded = pin(encode(rows, books, width)).withColumns({"no_label": F.col("label").isNull(), "key": F.coalesce(F.col("label").cast("string"), F.lit(""))})
     wide = F.sum(F.col("error").cast("decimal(38,0)"))
     sums = coded.groupBy("no_label", "key").agg(F.least(wide, F.lit(LONGEST).cast("decimal(38,0)")).cast("long").alias("label_error"))
-    joined = skew_join(coded.select("vec_id", "code", "error", "no_label", "key"), sums, ["no_label", "key"], by=["vec_id", "code"])
+    joined = coded.join(sums, ["no_label", "key"])
     return joined.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))

@@ -8,8 +8,9 @@ as often is dropped.
 
 Counting: a task numbers its words and counts phrases in a burstable trie: under a first word a hash container holds
 the rest of its phrases, and one that grows beyond ``BURST`` becomes a node with a container for each next word. At
-``ENTRIES`` phrases the largest subtrees are spilled whole, each as a sorted run. The runs are merged per prefix
-partition (language, first word, and a sub-key of the phrase, so that a very common first word is spread).
+``ENTRIES`` phrases the largest subtrees are spilled whole, as runs sorted by their words. A row of the shuffle is the
+part of a run that belongs to one prefix partition: a bucket for the language and first word, moved by one of
+``SUBKEYS`` steps for the rest of the phrase, so that a very common first word is spread. There the runs are merged.
 
 A phrase as frequent as ``LEAST`` consists of phrases that are as frequent, so lengths are counted one after the
 other, and a phrase whose two longest parts are not both frequent is never inserted. Tasks know the frequent parts by
@@ -30,7 +31,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citetide.operators.skew import skew_join
 from citetide.operators.topk import top_per_group
 from citetide.session import pin
 
@@ -44,11 +44,12 @@ SCALE, HIDES = 2_000_000, 80
 BURST, ENTRIES = 4096, 300_000
 #: Different words that a task numbers before it spills all and begins again; bits of a number.
 WORDS, ID_BITS = 200_000, 21
-#: Sub-keys of a prefix partition, and rows of a batch that are worked on at once.
-SUBKEYS, ROWS = 32, 512
+#: Steps over which the phrases of a first word are spread, prefix partitions for each partition of a shuffle, and
+#: rows of a batch that are worked on at once.
+SUBKEYS, BUCKETS, ROWS = 32, 8, 512
 UNKNOWN = "und"
 WORD, BLANK, BREAK = 0, 1, 2
-RUNS = "lang string, phrase string, n long"
+RUNS = "lang string, bucket int, phrases array<string>, counts array<bigint>"
 
 
 def letter_classes() -> np.ndarray:
@@ -145,16 +146,19 @@ class Words:
         self.numbers: dict[str, dict[bytes, int]] = {}
         self.langs: list[str] = []
         self.words: list[bytes] = []
+        self.hashes: list[np.ndarray] = []
 
-    def number(self, lang: str, words: list[bytes]) -> np.ndarray:
-        out, numbers = np.empty(len(words), np.int64), self.numbers.setdefault(lang, {})
+    def number(self, lang: str, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        out, numbers, new = np.empty(len(words), np.int64), self.numbers.setdefault(lang, {}), []
         for i, word in enumerate(words):
             found = numbers.get(word)
             if found is None:
                 found = numbers[word] = len(self.words)
                 self.langs.append(lang)
                 self.words.append(word)
+                new.append(i)
             out[i] = found
+        self.hashes.append(hashes[new])
         return out
 
 
@@ -221,8 +225,8 @@ def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 class Counter:
     """Counts the phrases of one length in a partition and gives them out as sorted runs."""
 
-    def __init__(self, size: int, table: np.ndarray | None, entries: int, burst: int):
-        self.size, self.table, self.entries = size, table, entries
+    def __init__(self, size: int, table: np.ndarray | None, buckets: int, entries: int, burst: int):
+        self.size, self.table, self.buckets, self.entries = size, table, buckets, entries
         self.trie, self.names = HatTrie(max(1, size - 1), burst), Words()
 
     def take(self, lang: str, tokens: Tokens) -> Iterator[pa.RecordBatch]:
@@ -235,7 +239,7 @@ class Counter:
             yield from self.runs(0)
             self.names = Words()
         number = np.zeros(len(tokens.words), np.int64)
-        number[used] = self.names.number(lang, tokens.words.take(pa.array(used)).to_pylist())
+        number[used] = self.names.number(lang, tokens.words.take(pa.array(used)).to_pylist(), tokens.hashes[used])
         columns = [number[c] for c in columns]
         if self.size == 1:
             columns.insert(0, np.zeros(len(at), np.int64))  # all words are in one container
@@ -248,23 +252,34 @@ class Counter:
             yield from self.runs(self.entries // 2)
 
     def runs(self, keep: int) -> Iterator[pa.RecordBatch]:
-        """Spilled subtrees, as rows in the order of their words."""
+        """Spilled subtrees: a row for each language and bucket, its phrases in the order of their words."""
         first, rest, counts = self.trie.spill(keep)
         if not len(counts):
             return
-        words, langs = pa.array(self.names.words, pa.large_binary()), pa.array(self.names.langs, pa.string())
+        words, hashes = pa.array(self.names.words, pa.large_binary()), np.concatenate(self.names.hashes)
         rank = np.empty(len(words), np.int64)
         rank[pc.array_sort_indices(words).to_numpy()] = np.arange(len(words))
         mask = (1 << ID_BITS) - 1
         others = [rest >> ID_BITS * i & mask for i in reversed(range(self.trie.others))]
         columns = others if self.size == 1 else [first, *others]
-        order = np.lexsort([rank[c] for c in columns[::-1]])
-        for begin in range(0, len(order), 1 << 16):
-            part = order[begin : begin + (1 << 16)]
-            names = [words.take(pa.array(c[part])).cast(pa.large_string()) for c in columns]
-            phrase = names[0] if self.size == 1 else pc.binary_join_element_wise(*names, pa.scalar(" ", pa.large_string()))
-            lang = langs.take(pa.array(columns[0][part]))
-            yield pa.RecordBatch.from_arrays([lang, phrase.cast(pa.string()), pa.array(counts[part])], ["lang", "phrase", "n"])
+        langs, lang = np.unique(np.array(self.names.langs, object), return_inverse=True)
+        seeds = np.array([seeded(x) for x in langs], U64)
+        lang = lang[columns[0]]
+        step = chained([hashes[c] for c in columns], U64(0)) % U64(SUBKEYS)
+        bucket = ((mix(hashes[columns[0]] + seeds[lang]) + step) % U64(self.buckets)).astype(np.int32)
+        order = np.lexsort([*(rank[c] for c in columns[::-1]), bucket, lang])
+        lang, bucket = lang[order], bucket[order]
+        begin = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (bucket[1:] != bucket[:-1])]))
+        bounds = pa.array(np.append(begin, len(order)), pa.int32())
+        names = [words.take(pa.array(c[order])).cast(pa.large_string()) for c in columns]
+        phrase = names[0] if self.size == 1 else pc.binary_join_element_wise(*names, pa.scalar(" ", pa.large_string()))
+        out = [
+            pa.array(langs[lang[begin]], pa.string()),
+            pa.array(bucket[begin]),
+            pa.ListArray.from_arrays(bounds, phrase.cast(pa.string())),
+            pa.ListArray.from_arrays(bounds, pa.array(counts[order])),
+        ]
+        yield pa.RecordBatch.from_arrays(out, ["lang", "bucket", "phrases", "counts"])
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
@@ -275,10 +290,10 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
             yield lang, part.filter(pc.equal(part.column("lang"), lang))
 
 
-def _counted(size: int, table: np.ndarray | None, entries: int, burst: int):
+def _counted(size: int, table: np.ndarray | None, buckets: int, entries: int = ENTRIES, burst: int = BURST):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, fold, classes = SpanHasher(), fold_table(), letter_classes()
-        counter = Counter(size, table, entries, burst)
+        counter = Counter(size, table, buckets, entries, burst)
         totals: dict[str, int] = {}
         for batch in batches:
             for lang, part in _by_lang(batch):
@@ -288,8 +303,10 @@ def _counted(size: int, table: np.ndarray | None, entries: int, burst: int):
                     yield from counter.take(lang, tokens)
         yield from counter.runs(0)
         if size == 1 and totals:
-            none = pa.nulls(len(totals), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals)), none, pa.array(list(totals.values()))], ["lang", "phrase", "n"])
+            none = pa.array([[None]] * len(totals), pa.list_(pa.string()))
+            sums = pa.array([[n] for n in totals.values()], pa.list_(pa.int64()))
+            zero = pa.array([0] * len(totals), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals)), zero, none, sums], ["lang", "bucket", "phrases", "counts"])
 
     return run
 
@@ -308,10 +325,10 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merged(runs: DataFrame) -> DataFrame:
-    """Phrases with the sum of their runs, each in its prefix partition."""
-    first = F.substring_index("phrase", " ", 1)
-    prefix = F.hash("lang", first, F.pmod(F.xxhash64("phrase"), F.lit(SUBKEYS)))
-    return runs.withColumn("prefix", prefix).repartition("prefix").groupBy("prefix", "lang", "phrase").agg(F.sum("n").alias("n")).drop("prefix")
+    """``lang, phrase, n``: phrases with the sum of their runs, merged in each prefix partition."""
+    rows = runs.repartition("bucket").select("bucket", "lang", F.inline(F.arrays_zip(F.col("phrases").alias("phrase"), F.col("counts").alias("n"))))
+    rows = rows.toDF("bucket", "lang", "phrase", "n")
+    return rows.groupBy("bucket", "lang", "phrase").agg(F.sum("n").alias("n")).drop("bucket")
 
 
 def phrase_counts(
@@ -319,9 +336,10 @@ def phrase_counts(
 ) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, n, words`` of all phrases that occur ``least`` times, and ``lang, n`` with the number of words."""
     rows = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text")
+    buckets = BUCKETS * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     levels, totals, table = [], None, None
     for size in range(1, longest + 1):
-        found = merged(rows.mapInArrow(_counted(size, table, entries, burst), RUNS))
+        found = merged(rows.mapInArrow(_counted(size, table, buckets, entries, burst), RUNS))
         held = pin(found.where((F.col("n") >= least) | F.col("phrase").isNull()))
         if size == 1:
             totals = held.where("phrase is null").select("lang", "n")
@@ -346,7 +364,8 @@ def scored(counts: DataFrame) -> DataFrame:
     cuts = cuts.withColumns({"head": _joined(split, F.lit(1), F.col("cut")), "tail": _joined(split, F.col("cut") + 1, F.col("words") - F.col("cut"))})
     for part, name in (("head", "l"), ("tail", "r")):
         held = counts.select("lang", F.col("phrase").alias(part), F.col("n").alias(name))
-        cuts = skew_join(cuts, held, ["lang", part], by=["phrase"])
+        # the counts hold a phrase once, so adaptive execution can split a part that very many cuts share
+        cuts = cuts.join(held, ["lang", part])
     wide = [F.col(c).cast("decimal(20,0)") for c in ("a", "l", "r")]
     cuts = cuts.withColumns({"top": wide[0] * SCALE, "bottom": wide[1] + wide[2]}).withColumn("score", F.expr("top div bottom"))
     lowest = cuts.groupBy("lang", "phrase", "words", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("lowest"))
