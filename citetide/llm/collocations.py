@@ -8,7 +8,7 @@ as often is dropped.
 
 Counting: a task numbers its words and counts phrases in a burstable trie: under a first word a hash container holds
 the rest of its phrases, and one that grows beyond ``BURST`` becomes a node with a container for each next word. At
-``ENTRIES`` phrases the largest subtrees are spilled whole, as runs sorted by their words. A row of the shuffle is the
+``ENTRIES`` phrases the largest subtrees are spilled whole, as sorted runs. A row of the shuffle is the
 part of a run that belongs to one prefix partition: a bucket for the language and first word, moved by one of
 ``SUBKEYS`` steps for the rest of the phrase, so that a very common first word is spread. There the runs are merged.
 
@@ -24,6 +24,7 @@ not read; empty tables give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,9 @@ SCALE, HIDES = 2_000_000, 80
 BURST, ENTRIES = 4096, 300_000
 #: Different words that a task numbers before it spills all and begins again; bits of a number.
 WORDS, ID_BITS = 200_000, 21
-#: Steps over which the phrases of a first word are spread, prefix partitions for each partition of a shuffle, and
-#: rows of a batch that are worked on at once.
-SUBKEYS, BUCKETS, ROWS = 32, 8, 512
+#: Prefix partitions, steps over which the phrases of a first word are spread, and rows and bytes of text that are
+#: worked on at once.
+BUCKETS, SUBKEYS, ROWS, BYTES = 4096, 128, 1024, 1 << 20
 UNKNOWN = "und"
 WORD, BLANK, BREAK = 0, 1, 2
 RUNS = "lang string, bucket int, phrases array<string>, counts array<bigint>"
@@ -76,27 +77,29 @@ class HatTrie:
 
     def _split(self, node: Inner, lead: np.ndarray, rest: np.ndarray, counts: np.ndarray, left: int) -> None:
         if len(lead):
-            cuts = np.flatnonzero(np.diff(lead)) + 1
-            ends = np.append(cuts, len(lead)).tolist()
-            begin = 0
-            for end in ends:
-                self._fill(node, int(lead[begin]), rest[begin:end], counts[begin:end], left)
-                begin = end
-
-    def _fill(self, parent: Inner, key: int, rest: np.ndarray, counts: np.ndarray, left: int) -> None:
+            begins = np.concatenate([[0], np.flatnonzero(np.diff(lead)) + 1])
+            bounds, keys = [*begins.tolist(), len(lead)], lead[begins].tolist()
+            rests, numbers = rest.tolist(), counts.tolist()
+            for i, key in enumerate(keys):
+                self._fill(node, key, rests[bounds[i] : bounds[i + 1]], numbers[bounds[i] : bounds[i + 1]], left)
+
+    def _fill(self, parent: Inner, key: int, rests: list[int], numbers: list[int], left: int) -> None:
         node = parent.get(key)
         if node is None:
-            node = parent[key] = {}
-        if type(node) is Inner:
+            parent[key] = node = dict(zip(rests, numbers))
+            self.size += len(node)
+        elif type(node) is Inner:
             shift = ID_BITS * (left - 1)
+            rest, counts = np.array(rests, np.int64), np.array(numbers, np.int64)
             lead = rest >> shift
             order = np.argsort(lead, kind="stable")
-            return self._split(node, lead[order], (rest & ((1 << shift) - 1))[order], counts[order], left - 1)
-        before, held = len(node), node.get
-        for k, n in zip(rest.tolist(), counts.tolist()):
-            node[k] = held(k, 0) + n
-        self.size += len(node) - before
-        if left > 1 and len(node) > self.burst:
+            self._split(node, lead[order], (rest & ((1 << shift) - 1))[order], counts[order], left - 1)
+        else:
+            before, held = len(node), node.get
+            for k, n in zip(rests, numbers):
+                node[k] = held(k, 0) + n
+            self.size += len(node) - before
+        if left > 1 and type(node) is dict and len(node) > self.burst:
             parent[key] = self._burst(node, left)
 
     def _burst(self, container: dict, left: int) -> Inner:
@@ -128,7 +131,8 @@ class HatTrie:
         for key in order:
             if self.size <= keep:
                 break
-            for head, container in self._walk(self.root.pop(key), 0, self.others):
+            node = self.root.pop(key)
+            for head, container in [(0, node)] if type(node) is dict else self._walk(node, 0, self.others):
                 firsts.append(key)
                 sizes.append(len(container))
                 heads.append(head)
@@ -185,6 +189,7 @@ class Tokens:
         self.hashes = hasher.load(low).of(starts[some], ends[some])
 
 
+@lru_cache(maxsize=4096)
 def seeded(lang: str) -> np.uint64:
     held = np.frombuffer(lang.encode() + b"\x01", np.uint8)
     return SpanHasher().load(held).of(np.array([0]), np.array([len(held)]))[0]
@@ -213,7 +218,14 @@ def phrase_starts(tokens: Tokens, size: int, table: np.ndarray | None, seed: np.
 
 def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """The different rows of the columns, sorted by the first column, and how often each occurs."""
-    order = np.lexsort(columns[::-1])
+    span = [int(c.max(initial=0)) + 1 for c in columns]
+    if np.prod(np.array(span, float)) < 2.0**62:
+        key = columns[0]
+        for c, size in zip(columns[1:], span[1:]):
+            key = key * size + c
+        order = np.argsort(key, kind="stable")
+    else:
+        order = np.lexsort(columns[::-1])
     held = [c[order] for c in columns]
     new = np.ones(len(order), bool)
     if len(order):
@@ -225,8 +237,8 @@ def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 class Counter:
     """Counts the phrases of one length in a partition and gives them out as sorted runs."""
 
-    def __init__(self, size: int, table: np.ndarray | None, buckets: int, entries: int, burst: int):
-        self.size, self.table, self.buckets, self.entries = size, table, buckets, entries
+    def __init__(self, size: int, table: np.ndarray | None, entries: int, burst: int):
+        self.size, self.table, self.entries = size, table, entries
         self.trie, self.names = HatTrie(max(1, size - 1), burst), Words()
 
     def take(self, lang: str, tokens: Tokens) -> Iterator[pa.RecordBatch]:
@@ -249,25 +261,24 @@ class Counter:
             rest = rest << ID_BITS | c
         self.trie.add(columns[0], rest, counts)
         if self.trie.size > self.entries:
-            yield from self.runs(self.entries // 2)
+            yield from self.runs(self.entries // 4)
 
     def runs(self, keep: int) -> Iterator[pa.RecordBatch]:
-        """Spilled subtrees: a row for each language and bucket, its phrases in the order of their words."""
+        """Spilled subtrees: a row for each language and bucket, its phrases sorted by the hashes of the first word and of
+        the whole."""
         first, rest, counts = self.trie.spill(keep)
         if not len(counts):
             return
         words, hashes = pa.array(self.names.words, pa.large_binary()), np.concatenate(self.names.hashes)
-        rank = np.empty(len(words), np.int64)
-        rank[pc.array_sort_indices(words).to_numpy()] = np.arange(len(words))
         mask = (1 << ID_BITS) - 1
         others = [rest >> ID_BITS * i & mask for i in reversed(range(self.trie.others))]
         columns = others if self.size == 1 else [first, *others]
         langs, lang = np.unique(np.array(self.names.langs, object), return_inverse=True)
         seeds = np.array([seeded(x) for x in langs], U64)
         lang = lang[columns[0]]
-        step = chained([hashes[c] for c in columns], U64(0)) % U64(SUBKEYS)
-        bucket = ((mix(hashes[columns[0]] + seeds[lang]) + step) % U64(self.buckets)).astype(np.int32)
-        order = np.lexsort([*(rank[c] for c in columns[::-1]), bucket, lang])
+        head, whole = hashes[columns[0]], chained([hashes[c] for c in columns], U64(0))
+        bucket = ((mix(head + seeds[lang]) + whole % U64(SUBKEYS)) % U64(BUCKETS)).astype(np.int32)
+        order = np.lexsort([whole, head, lang * BUCKETS + bucket])
         lang, bucket = lang[order], bucket[order]
         begin = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (bucket[1:] != bucket[:-1])]))
         bounds = pa.array(np.append(begin, len(order)), pa.int32())
@@ -290,14 +301,14 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
             yield lang, part.filter(pc.equal(part.column("lang"), lang))
 
 
-def _counted(size: int, table: np.ndarray | None, buckets: int, entries: int = ENTRIES, burst: int = BURST):
+def _counted(size: int, table: np.ndarray | None, entries: int = ENTRIES, burst: int = BURST):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, fold, classes = SpanHasher(), fold_table(), letter_classes()
-        counter = Counter(size, table, buckets, entries, burst)
+        counter = Counter(size, table, entries, burst)
         totals: dict[str, int] = {}
         for batch in batches:
             for lang, part in _by_lang(batch):
-                for _, data, offsets in blocks(part, "text"):
+                for _, data, offsets in blocks(part, "text", BYTES):
                     tokens = Tokens(data, offsets, hasher, fold, classes)
                     totals[lang] = totals.get(lang, 0) + tokens.count
                     yield from counter.take(lang, tokens)
@@ -336,10 +347,9 @@ def phrase_counts(
 ) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, n, words`` of all phrases that occur ``least`` times, and ``lang, n`` with the number of words."""
     rows = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text")
-    buckets = BUCKETS * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     levels, totals, table = [], None, None
     for size in range(1, longest + 1):
-        found = merged(rows.mapInArrow(_counted(size, table, buckets, entries, burst), RUNS))
+        found = merged(rows.mapInArrow(_counted(size, table, entries, burst), RUNS))
         held = pin(found.where((F.col("n") >= least) | F.col("phrase").isNull()))
         if size == 1:
             totals = held.where("phrase is null").select("lang", "n")
