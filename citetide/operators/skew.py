@@ -11,15 +11,20 @@
 
 The sketch only chooses the layout. The result is the same whichever keys it names, and salts come from
 row contents, so a recomputed task sends each row to the same place.
+
+A report that joins on the same source columns several times holds their sketches in one :class:`KeyStatistics`,
+which reads all columns in one job. A side that holds each key once needs no sketch: adaptive execution splits the
+rows of the other side, and nothing has to be repeated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DataType, StringType
 
 #: A key above this share of the rows is spread.
 SHARE = 1 / 4000
@@ -28,8 +33,8 @@ SALTS = 256
 #: Keys a sketch keeps, which sets the smallest share it can tell, and the most it reports: no more keys can
 #: be above ``SHARE``, and the driver never sees more numbers.
 TRACKED, REPORTED = 16384, 4000
-#: Sketches are merged in this many groups before the last merge.
-MERGE_GROUPS = 1024
+#: Sketches are merged in these numbers of groups before the last merge, so that no task merges more than 64.
+MERGE_GROUPS = (2048, 32)
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -43,7 +48,9 @@ def estimated_bytes(df: DataFrame) -> int | None:
 def is_small(df: DataFrame) -> bool:
     """Whether the estimate is within the session's broadcast threshold."""
     size = estimated_bytes(df)
-    return size is not None and size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if size is None:
+        return False
+    return size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 
 def comparable(left: DataFrame, right: DataFrame, on: Sequence[str]) -> list[Column] | None:
@@ -64,16 +71,69 @@ def comparable(left: DataFrame, right: DataFrame, on: Sequence[str]) -> list[Col
 
 def hot_keys(df: DataFrame, on: Sequence[str | Column]) -> list[int]:
     """Hashes of the keys that hold more than ``SHARE`` of the rows (at most ``REPORTED`` numbers)."""
-    partial = (
-        df.select(F.xxhash64(*on).alias("key"), F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("part"))
-        .groupBy("part")
-        .agg(F.expr(f"approx_top_k_accumulate(key, {TRACKED})").alias("sketch"), F.count("*").alias("n"))
-    )
-    found = partial.agg(
-        F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {REPORTED})").alias("top"),
-        F.sum("n").alias("n"),
-    ).first()
-    return [] if not found.n else [item["item"] for item in found.top if item["count"] > SHARE * found.n]
+    return _sketched({"": (df, on)})[""]
+
+
+def _sketched(sources: dict[str, tuple[DataFrame, Sequence[str | Column]]]) -> dict[str, list[int]]:
+    """:func:`hot_keys` of several tables in one job.
+
+    Sketches are grouped by source in every step, as Spark cannot merge the sketch of a partition without rows.
+    """
+    first, second = MERGE_GROUPS
+    part = F.pmod(F.spark_partition_id(), F.lit(first)).alias("part")
+    rows = None
+    for i, (df, on) in enumerate(sources.values()):
+        keys = df.select(F.lit(i).alias("source"), part, F.xxhash64(*on).alias("key"))
+        rows = keys if rows is None else rows.unionByName(keys)
+    counted = [F.expr(f"approx_top_k_accumulate(key, {TRACKED})").alias("sketch"), F.count("*").alias("n")]
+    merged = [F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"), F.sum("n").alias("n")]
+    found = rows.groupBy("source", "part").agg(*counted)
+    found = found.groupBy("source", F.pmod("part", F.lit(second)).alias("part")).agg(*merged)
+    found = found.groupBy("source").agg(*merged).select("source", "n", F.expr(f"approx_top_k_estimate(sketch, {REPORTED})").alias("top"))
+    hot = {r.source: [item["item"] for item in r.top if item["count"] > SHARE * r.n] for r in found.collect()}
+    return {name: hot.get(i, []) for i, name in enumerate(sources)}
+
+
+class KeyStatistics:
+    """Hot keys of named source columns, found in one job when a join first asks and shared by all joins."""
+
+    def __init__(self, sources: dict[str, tuple[DataFrame, Sequence[str | Column]]]):
+        self.sources = sources
+        self._hot: dict[str, list[int]] | None = None
+        self._cast: dict[tuple, list[int]] = {}
+
+    def __getitem__(self, name: str) -> "KeySource":
+        if name not in self.sources:
+            raise KeyError(name)
+        return KeySource(self, name)
+
+    def hot(self, name: str, types: Sequence[DataType]) -> list[int]:
+        """Hot keys of a source, hashed in ``types``; a column that must be cast is sketched apart, once for each type."""
+        df, on = self.sources[name]
+        own = [field.dataType for field in df.select(*on).schema]
+        if list(types) == own:
+            if self._hot is None:
+                self._hot = _sketched(self.sources)
+            return self._hot[name]
+        key = (name, *(t.simpleString() for t in types))
+        if key not in self._cast:
+            columns = [F.col(c) if isinstance(c, str) else c for c in on]
+            self._cast[key] = hot_keys(df, [c.cast(t) for c, t in zip(columns, types)])
+        return self._cast[key]
+
+
+@dataclass(frozen=True)
+class KeySource:
+    """A source column of :class:`KeyStatistics`, to be given to a join as its probe."""
+
+    statistics: KeyStatistics
+    name: str
+
+
+def _probe(source: DataFrame | KeySource, side: DataFrame, compared: Sequence[Column]) -> list[int]:
+    if isinstance(source, KeySource):
+        return source.statistics.hot(source.name, [field.dataType for field in side.select(*compared).schema])
+    return hot_keys(source, compared)
 
 
 def is_hot(on: Sequence[str | Column], hot: list[int]) -> Column:
@@ -103,8 +163,9 @@ def skew_join(
     hot: list[int] | None = None,
     bound: DataFrame | None = None,
     bound_left: DataFrame | None = None,
-    probe: DataFrame | None = None,
-    probe_right: DataFrame | None = None,
+    probe: DataFrame | KeySource | None = None,
+    probe_right: DataFrame | KeySource | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on equal columns when keys of ``left`` may be hot.
 
@@ -114,26 +175,26 @@ def skew_join(
     are spread too, so a key that is hot on both sides is worked on as a grid of sub-keys.
 
     A derived side is estimated and sketched through a source table of it: ``bound`` and
-    ``bound_left`` have at least the rows of ``right`` and ``left``, ``probe`` and ``probe_right`` hold the key columns of the sides. ``hot`` passes keys that
-    are already known.
+    ``bound_left`` have at least the rows of ``right`` and ``left``, ``probe`` and ``probe_right`` hold the key columns
+    of the sides or are columns of :class:`KeyStatistics`. ``hot`` passes keys that are already known. ``unique`` says
+    that ``right`` holds each key at most once: the join is then left to adaptive execution.
     """
     on = [on] if isinstance(on, str) else list(on)
     if both and how != "inner":
         raise ValueError("both sides can be spread only for an inner join")
     hot_right: list[int] = []
     compared = comparable(left, right, on)
-    if compared is None:
+    if compared is None or unique:
         return left.join(right, on, how)
     if hot is None:
-        if is_small(right):
+        # no hint: adaptive execution broadcasts a side whose size at run time is within the threshold
+        if is_small(right if bound is None else bound):
             return left.join(right, on, how)
-        if bound is not None and is_small(bound):
-            return left.join(F.broadcast(right), on, how)
         if how == "inner" and is_small(left if bound_left is None else bound_left):
-            return F.broadcast(left).join(right, on, how)
-        hot = hot_keys(left if probe is None else probe, compared)
+            return left.join(right, on, how)
+        hot = _probe(left if probe is None else probe, left, compared)
         if both:
-            hot_right = hot_keys(right if probe_right is None else probe_right, compared)
+            hot_right = _probe(right if probe_right is None else probe_right, right, compared)
     if not hot and not hot_right:
         return left.join(right, on, how)
     keys = list(on)

@@ -9,7 +9,7 @@ from citetide.functions.scalars import int_list, strip_version
 from citetide.operators.counting import count_by
 from citetide.operators.dedupe import gene_refseq_pairs
 from citetide.operators.intervals import union_intervals
-from citetide.operators.skew import skew_join
+from citetide.operators.skew import KeyStatistics, skew_join
 
 COLUMNS = (
     "chrom",
@@ -36,24 +36,42 @@ def gene_row_counts(gene2pubmed: DataFrame) -> DataFrame:
 
 def refseq_citations(gene2pubmed: DataFrame, gene2refseq: DataFrame) -> DataFrame:
     """``gene_id, refseq_id, citations`` for every transcript of a cited gene."""
-    counts = gene_row_counts(gene2pubmed)
-    return skew_join(gene_refseq_pairs(gene2refseq), counts, "gene_id", by=["refseq_id"], probe=gene2refseq)
+    return skew_join(gene_refseq_pairs(gene2refseq), gene_row_counts(gene2pubmed), "gene_id", unique=True)
 
 
 def cited_genes(gene_info: DataFrame, gene2pubmed: DataFrame) -> DataFrame:
     """``gene_id, symbol, type_of_gene, full_name, citations``: genes matched by id alone."""
     rows = gene_info.select("gene_id", "symbol", "type_of_gene", "full_name")
-    return skew_join(rows, gene_row_counts(gene2pubmed), "gene_id")
+    return skew_join(rows, gene_row_counts(gene2pubmed), "gene_id", unique=True)
+
+
+def annotation_statistics(gene_info: DataFrame, gene2refseq: DataFrame, refgene: DataFrame) -> KeyStatistics:
+    """Sketches of the source columns on which :func:`gene_annotations` joins rows to rows."""
+    accession = strip_version(F.col("accession")).alias("refseq_id")
+    return KeyStatistics(
+        {
+            "gene2refseq.gene_id": (gene2refseq, ["gene_id"]),
+            "gene2refseq.accession": (gene2refseq, [accession]),
+            "gene_info.gene_id": (gene_info, ["gene_id"]),
+            "refgene.name": (refgene, ["name"]),
+        }
+    )
 
 
 def gene_annotations(
-    gene_info: DataFrame, gene2pubmed: DataFrame, gene2refseq: DataFrame, refgene: DataFrame
+    gene_info: DataFrame,
+    gene2pubmed: DataFrame,
+    gene2refseq: DataFrame,
+    refgene: DataFrame,
+    statistics: KeyStatistics | None = None,
 ) -> DataFrame:
     """The 14 columns of ``COLUMNS``, one row per locus of each transcript of a cited gene.
 
     Attributes and the count are put on the gene's transcripts first, then on the loci, so the widest
-    table is shuffled once.
+    table is shuffled once. Pass ``statistics`` (:func:`annotation_statistics`) to share the sketches with other
+    reports over the same tables.
     """
+    known = annotation_statistics(gene_info, gene2refseq, refgene) if statistics is None else statistics
     named = skew_join(
         gene_refseq_pairs(gene2refseq),
         cited_genes(gene_info, gene2pubmed),
@@ -61,12 +79,14 @@ def gene_annotations(
         by=["refseq_id"],
         both=True,
         bound=gene_info,
-        probe=gene2refseq,
-        probe_right=gene_info,
+        probe=known["gene2refseq.gene_id"],
+        probe_right=known["gene_info.gene_id"],
     )
     loci = refgene.withColumnRenamed("name", "refseq_id")
-    accessions = gene2refseq.select(strip_version(F.col("accession")).alias("refseq_id"))
-    return skew_join(loci, named, "refseq_id", both=True, probe_right=accessions).select(*COLUMNS)
+    joined = skew_join(
+        loci, named, "refseq_id", both=True, probe=known["refgene.name"], probe_right=known["gene2refseq.accession"]
+    )
+    return joined.select(*COLUMNS)
 
 
 def exon_intervals(annotations: DataFrame) -> DataFrame:

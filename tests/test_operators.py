@@ -148,6 +148,63 @@ def test_interval_unions(spark, monkeypatch, values, bits):
     assert values(intervals.union_intervals(df, ["g"], "s", "e")) == sorted(expected, key=repr)
 
 
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("reach", [1, 500])
+def test_interval_windows_run_once(spark, large, monkeypatch, reach):
+    """Two windows over the intervals, two over the chunks; none over the chunks if no interval leaves its chunk."""
+    monkeypatch.setattr(intervals, "CHUNK_BITS", 6)
+    df = spark.range(4000).select((F.col("id") % 3).alias("g"), (F.col("id") % 900 * 64).alias("s"))
+    plan = final_plan(intervals.union_intervals(df.withColumn("e", F.col("s") + reach), ["g"], "s", "e"))
+    assert plan.count("Window [") == (4 if reach > 64 else 2)
+    assert plan.count("ReusedExchange") == 1 or reach == 1
+
+
+def test_hot_keys_of_many_empty_partitions(spark, large):
+    df = spark.range(10_000, numPartitions=3).select((F.col("id") % 2 * F.col("id")).alias("k"))
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert skew.hot_keys(df, ["k"]) == [spark.range(1).select(F.xxhash64(F.lit(0).cast("bigint"))).first()[0]]
+        assert skew.hot_keys(df.limit(0), ["k"]) == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_joins_share_key_statistics(spark, salted, values, monkeypatch):
+    """Two joins over three columns of two tables run one sketch; a column that must be cast runs its own."""
+    df, _ = facts(spark, 120)
+    dim = spark.createDataFrame([(k, f"d{k}") for k in (None, 7, 3, 5, 99)], "k bigint, d string")
+    ran = []
+    whole = skew._sketched
+    monkeypatch.setattr(skew, "_sketched", lambda sources: ran.append(sorted(sources)) or whole(sources))
+    known = skew.KeyStatistics({"a": (df, ["k"]), "b": (dim, ["k"]), "v": (df, ["v"])})
+    assert ran == []
+    joined = skew.skew_join(df, dim, "k", both=True, probe=known["a"], probe_right=known["b"])
+    assert values(joined) == values(df.join(dim, "k"))
+    more = skew.skew_join(joined, df.select("v").distinct(), "v", probe=known["v"])
+    assert values(more) == values(joined.join(df.select("v").distinct(), "v"))
+    assert ran == [["a", "b", "v"]]
+    text = dim.withColumn("k", F.col("k").cast("string"))
+    other = skew.skew_join(df, text, "k", "left", probe=known["a"])
+    assert values(other) == values(df.join(text, "k", "left"))
+    assert len(ran) == 2 and skew.skew_join(df, text, "k", "left_semi", probe=known["a"]).count() and len(ran) == 2
+    with pytest.raises(KeyError):
+        known["c"]
+
+
+def test_a_unique_side_needs_no_sketch(spark, salted, values):
+    df, _ = facts(spark)
+    dim = spark.createDataFrame([(k, f"d{k}") for k in (None, 7, 3, 5, 99)], "k bigint, d string")
+    joined = skew.skew_join(df, dim, "k", unique=True)
+    assert "_salt" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert values(joined) == values(df.join(dim, "k"))
+
+
 def test_touching_intervals_merge(spark, values):
     df = spark.createDataFrame([(1, 0, 5), (1, 5, 9), (1, 10, 12), (1, 2, 3)], "g int, s bigint, e bigint")
     assert values(intervals.union_intervals(df, ["g"], "s", "e")) == [(1, 0, 9), (1, 10, 12)]

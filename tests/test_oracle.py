@@ -36,6 +36,16 @@ def test_query_with_spread_keys(spark, oracle, salted, name):
     assert found == compare.duckdb_rows(oracle, STATEMENTS[name])
 
 
+@pytest.mark.parametrize("name, sketches", [("gene_annotations", 1), ("refseq_citations", 0), ("cited_genes", 0)])
+def test_sketches_of_a_report(spark, salted, monkeypatch, name, sketches):
+    from citetide.operators import skew
+
+    ran, whole = [], skew._sketched
+    monkeypatch.setattr(skew, "_sketched", lambda sources: ran.append(1) or whole(sources))
+    QUERIES[name](spark, FOLDER)
+    assert len(ran) == sketches
+
+
 def test_entry(spark):
     assert driver.entry(spark).columns[-1] == "citations"
 
