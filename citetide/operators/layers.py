@@ -12,8 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citetide.operators.running import CHUNK, global_index, position_chunk, running
-from citetide.operators.skew import is_small
+from citetide.operators.running import exact_sum, global_index, position_chunk, running
 from citetide.session import pin
 
 
@@ -33,13 +32,13 @@ def densify(df: DataFrame, series: str, x: str, value: str) -> DataFrame:
     return sums.unionByName(zeros).groupBy("series", "x").agg(F.sum("value").alias("value"))
 
 
-def onset_order(layers: DataFrame, small: bool | None = None) -> DataFrame:
+def onset_order(layers: DataFrame, small: bool = False) -> DataFrame:
     """``series, onset, position``: by the first ``x`` with a value above 0; series without one come last."""
     onset = layers.groupBy("series").agg(F.min(F.when(F.col("value") > 0, F.col("x"))).alias("onset"))
     return global_index(onset, [F.asc_nulls_last("onset"), F.asc("series")], small=small)
 
 
-def order_series(layers: DataFrame, small: bool | None = None) -> DataFrame:
+def order_series(layers: DataFrame, small: bool = False) -> DataFrame:
     """Add ``position`` in onset order to a layer table. The result is a written table, as the baseline and the
     stacking both read it."""
     order = onset_order(layers, small)
@@ -48,7 +47,7 @@ def order_series(layers: DataFrame, small: bool | None = None) -> DataFrame:
 
 def _below(layers: DataFrame, value: str, out: str, by: Sequence[str] = ("x",)) -> DataFrame:
     """Running sum of the series before each, at one ``x``."""
-    return running(layers, list(by), ["position"], value, out, position_chunk(layers, "position"))
+    return running(layers, list(by), ["position"], value, out, position_chunk("position"))
 
 
 def _step(layers: DataFrame, value: str, first: Column) -> Column:
@@ -59,14 +58,13 @@ def _step(layers: DataFrame, value: str, first: Column) -> Column:
 
 def _accumulate(steps: DataFrame, out: str) -> DataFrame:
     """Running sum of ``step`` along ``x``, one row per ``x``."""
-    chunk = None if is_small(steps) else F.floor(F.col("x") / CHUNK)
-    return running(steps, [], ["x"], "step", out, chunk, inclusive=True).select("x", out)
+    return running(steps, [], ["x"], "step", out, position_chunk("x"), inclusive=True).select("x", out)
 
 
 def baseline(layers: DataFrame, how: str = "wiggle") -> DataFrame:
     """``x, baseline``: ``symmetric``, ``zero`` or ``wiggle`` (weighted, 0 where an ``x`` sums to 0)."""
     if how == "symmetric":
-        return layers.groupBy("x").agg((F.sum(F.col("value").cast("double")) * -0.5).alias("baseline"))
+        return layers.groupBy("x").agg((exact_sum("value") * -0.5).alias("baseline"))
     if how == "zero":
         return layers.select("x").distinct().withColumn("baseline", F.lit(0.0))
     if how != "wiggle":
@@ -74,8 +72,8 @@ def baseline(layers: DataFrame, how: str = "wiggle") -> DataFrame:
     rows = layers.select("position", "x", F.col("value").cast("double").alias("value"))
     rows = rows.withColumn("change", _step(rows, "value", F.col("value")))
     rows = _below(rows, "change", "change_below")
-    moved = F.sum((F.col("change") * 0.5 + F.col("change_below")) * F.col("value"))
-    step = F.coalesce(-F.try_divide(moved, F.sum("value")), F.lit(0.0))
+    moved = exact_sum((F.col("change") * 0.5 + F.col("change_below")) * F.col("value"))
+    step = F.coalesce(-F.try_divide(moved, exact_sum("value")), F.lit(0.0))
     return _accumulate(rows.groupBy("x").agg(step.alias("step")), "baseline")
 
 
@@ -122,7 +120,7 @@ def alternate_baseline(bounds: DataFrame, how: str = "wiggle") -> DataFrame:
     rows = bounds.withColumn("signed", F.abs("value") * sign)
     rows = rows.withColumn("change", _step(rows, "signed", F.lit(0.0)))
     rows = _below(rows, "change", "change_below")
-    moved = F.sum((F.col("change") * 0.5 + F.col("change_below")) * F.col("signed"))
+    moved = exact_sum((F.col("change") * 0.5 + F.col("change_below")) * F.col("signed"))
     step = F.coalesce(-F.try_divide(moved, most - least), F.lit(0.0))
     return _accumulate(rows.groupBy("x").agg(step.alias("step")), "baseline")
 

@@ -13,7 +13,7 @@ from citetide.operators.skew import skew_join
 from citetide.plans.citations import GENE
 
 
-def cumulative_offsets(chrom_info: DataFrame, small: bool | None = None) -> DataFrame:
+def cumulative_offsets(chrom_info: DataFrame, small: bool = False) -> DataFrame:
     """``chrom, length, chrom_offset``: start of each chromosome when laid end to end, longest first."""
     order = [F.desc("length"), F.asc("chrom")]
     return global_running(chrom_info.select("chrom", "length"), order, "length", "chrom_offset", small)

@@ -1,5 +1,7 @@
 """Layer geometry against the formulas worked out in plain Python."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,13 +20,10 @@ XS = list(range(10, 15))
 ONSET = ["b", "d", "a", "c", "e"]
 
 
-@pytest.fixture(params=["small", "chunked"])
+@pytest.fixture(params=["one chunk", "many chunks"])
 def table(spark, request, monkeypatch):
-    if request.param == "chunked":
+    if request.param == "many chunks":
         monkeypatch.setattr(running, "CHUNK", 2)
-        monkeypatch.setattr(layers, "CHUNK", 2)
-        monkeypatch.setattr(running, "is_small", lambda df: False)
-        monkeypatch.setattr(layers, "is_small", lambda df: False)
     rows = [(s, x, v) for s, vs in SERIES.items() for x, v in zip(XS, vs)]
     return spark.createDataFrame(rows, "series string, x int, value bigint")
 
@@ -144,3 +143,19 @@ def test_heights_add_up_to_the_values(table):
     stacked = streams.stacked_layers(table, "wiggle")
     height = stacked.agg(F.sum(F.col("upper") - F.col("lower"))).first()[0]
     assert height == pytest.approx(sum(map(sum, SERIES.values())))
+
+
+@pytest.mark.parametrize("how", ["wiggle", "symmetric"])
+def test_doubles_do_not_depend_on_the_layout(spark, monkeypatch, how):
+    """Values that lose bits when added in another order give the same doubles in all partitionings and chunks."""
+    rng = random.Random(1)
+    rows = [(f"s{s:02d}", x, rng.choice([0.1, 1e-7, 1234567.891, 1 / 3, 0.0]) * rng.random()) for s in range(25) for x in range(30)]
+    found = set()
+    for partitions, chunk in [(1, 4096), (3, 4096), (7, 2), (5, 3), (2, 1)]:
+        monkeypatch.setattr(running, "CHUNK", chunk)
+        rng.shuffle(rows)
+        table = spark.createDataFrame(rows, "series string, x int, value double").repartition(partitions)
+        stacked = streams.stacked_layers(table, how).orderBy("series", "x").select("lower", "upper").collect()
+        turned = streams.alternating_layers(table, how).orderBy("series", "x").select("lower", "upper").collect()
+        found.add((tuple(map(tuple, stacked)), tuple(map(tuple, turned))))
+    assert len(found) == 1

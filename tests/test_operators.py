@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citetide import session
-from citetide.operators import counting, dedupe, graph, intervals, running, skew, topk
+from citetide.operators import counting, dedupe, graph, intervals, lists, running, skew, topk
 from citetide.plans import citations
 
 
@@ -238,13 +238,48 @@ def test_pagerank(spark, rounds):
     assert ("sink" in ranks) == (rounds > 0)
 
 
-def test_pagerank_of_a_hub(spark, salted):
+@pytest.mark.parametrize("block", [1, 7, 1024])
+def test_pagerank_of_a_hub(spark, salted, block):
     edges = [("hub", f"n{n}") for n in range(60)] + [(f"n{n}", "hub") for n in range(0, 60, 7)]
     df = spark.createDataFrame(edges, "src string, dst string")
-    ranks = dict(map(tuple, graph.pagerank(df, 4).collect()))
+    ranks = dict(map(tuple, graph.pagerank(df, 4, block=block).collect()))
     assert ranks == pytest.approx(brute_ranks(edges, 4))
 
 
+def test_a_hub_is_split_into_blocks(spark):
+    """A third of all links leave one source; no block is longer than asked, and the blocks are dealt out."""
+    edges = [("hub", f"n{n:04d}") for n in range(3000)] * 2 + [(f"n{n % 1500:04d}", f"n{n}") for n in range(6000)]
+    blocks = graph.adjacency(spark.createDataFrame(edges + [("-", "x"), ("x", "-")], "src string, dst string"), 100)
+    held = {}
+    for r in blocks.collect():
+        assert 1 <= len(r.targets) <= 100
+        held.setdefault(r.src, []).append((r.block, r.targets))
+    assert [b for b, _ in sorted(held["hub"])] == list(range(30))
+    targets = {}
+    for src, dst in set(edges):
+        targets.setdefault(src, []).append(dst)
+    assert {src: [t for _, part in sorted(parts) for t in part] for src, parts in held.items()} == {s: sorted(t) for s, t in targets.items()}
+
+
+def test_blocked_lists(spark, values):
+    data = [(n % 3 or None, n % 7, f"v{n % 50}" if n % 50 else None) for n in range(400)]
+    df = spark.createDataFrame(data, "k int, a int, v string")
+    blocks = lists.blocked_lists(df, ["k"], ["v", "a"], [F.desc("v"), F.asc("a")], size=9, name="found")
+    rows = {}
+    for r in blocks.collect():
+        assert len(r.found) <= 9
+        rows.setdefault(r.k, []).append((r.block, [(x.v, x.a) for x in r.found]))
+    for k, parts in rows.items():
+        assert all(len(part) == 9 for _, part in sorted(parts)[:-1])
+        whole = [x for _, part in sorted(parts) for x in part]
+        mine = {(v, a) for key, a, v in data if key == k}
+        assert whole == sorted(sorted(mine, key=lambda x: x[1]), key=lambda x: x[0] or "", reverse=True)
+    assert values(lists.unblocked(blocks, "found").select("k", "found.v", "found.a")) == values(df.select("k", "v", "a").distinct())
+    assert lists.blocked_lists(df.limit(0), ["k"], ["v"]).count() == 0
+    with pytest.raises(ValueError):
+        lists.blocked_lists(df, ["k"], ["v"], size=0)
+
+
 def test_top_per_group(spark, values):
     data = [(n % 3, n * 7 % 23, n) for n in range(90)]
     df = spark.createDataFrame(data, "g int, v int, n int")
