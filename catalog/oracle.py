@@ -315,6 +315,12 @@ STATEMENTS: dict[str, str] = {
     "genes_by_type": _statement(
         ["cited"], "SELECT type_of_gene, count(DISTINCT gene_id) AS genes FROM cited GROUP BY 1"
     ),
+    "yearly_statistics": _statement(
+        ["cited"],
+        """SELECT 'year' AS statistic, year, NULL AS type_of_gene, count(DISTINCT gene_id) AS genes, count(*) AS citations
+           FROM cited GROUP BY year
+           UNION ALL SELECT 'type', NULL, type_of_gene, count(DISTINCT gene_id), count(*) FROM cited GROUP BY type_of_gene""",
+    ),
     "type_rows": _statement(["by_year"], "SELECT * FROM by_year WHERE type_of_gene = 'PROMO'"),
     "papers_per_species": _statement(
         ["gene2pubmed"], "SELECT tax_id, count(DISTINCT pmid) AS papers FROM gene2pubmed GROUP BY 1"
@@ -351,6 +357,14 @@ STATEMENTS: dict[str, str] = {
         )
         for name, least in (("top_genes_by_year", 10), ("top_genes_by_year_min3", 3))
     },
+    "gene_lists_by_year": _statement(
+        ["fanout"],
+        """SELECT year, block, CAST(count(*) AS INT) AS genes, string_agg(CAST(gene_id AS VARCHAR), ',' ORDER BY pos) AS gene_ids
+           FROM (SELECT *, pos // 100 AS block FROM (
+             SELECT year, gene_id, row_number() OVER (PARTITION BY year ORDER BY citations DESC, gene_id DESC, symbol DESC,
+                    description DESC, CAST(tax_id AS VARCHAR) DESC) - 1 AS pos FROM fanout WHERE citations > 3))
+           GROUP BY 1, 2""",
+    ),
     "symbol_lookup": _statement(["by_year"], "SELECT * FROM by_year WHERE symbol = 'red widget'"),
     "paper_lookup": _statement(["gene2pubmed"], "SELECT DISTINCT pmid FROM gene2pubmed WHERE pmid = 7"),
     "symbol_by_year": _statement(
@@ -435,6 +449,12 @@ STATEMENTS: dict[str, str] = {
            FROM exons GROUP BY 1, 2, 3""",
     ),
     "pagerank3": _pagerank(3),
+    "link_lists": _statement(
+        ["links"],
+        """SELECT src, block, string_agg(dst, ',' ORDER BY dst) AS targets FROM (
+             SELECT src, dst, (row_number() OVER (PARTITION BY src ORDER BY dst) - 1) // 8 AS block FROM links)
+           GROUP BY 1, 2""",
+    ),
     "gene_disease_top": _statement(
         ["gene_diseases"],
         """SELECT * FROM gene_diseases WHERE "associationType" = 'GeneticVariation'

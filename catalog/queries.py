@@ -105,6 +105,11 @@ def genes_by_type(t: Lens) -> DataFrame:
     return citations.genes_by_type(citations.gene_totals(t.gene_info(), t.gene2pubmed(), t.pmid_dates()))
 
 
+@query
+def yearly_statistics(t: Lens) -> DataFrame:
+    return citations.yearly_statistics(_by_year(t))
+
+
 @query
 def type_rows(t: Lens) -> DataFrame:
     return for_type(_by_year(t), "PROMO")
@@ -168,6 +173,13 @@ def top_genes_by_year_min3(t: Lens) -> DataFrame:
     return ranking.top_genes_by_year(t.gene_info(), t.gene2pubmed(), t.pmid_dates(), min_count=3)
 
 
+@query
+def gene_lists_by_year(t: Lens) -> DataFrame:
+    lists = ranking.gene_lists_by_year(t.gene_info(), t.gene2pubmed(), t.pmid_dates(), min_count=3, size=100)
+    ids = F.array_join(F.transform("genes", lambda g: g["gene_id"].cast("string")), ",")
+    return lists.select("year", "block", F.size("genes").alias("genes"), ids.alias("gene_ids"))
+
+
 @query
 def symbol_lookup(t: Lens) -> DataFrame:
     return ranking.symbol_lookup(_by_year(t), "red widget")
@@ -390,6 +402,12 @@ def pagerank3(t: Lens) -> DataFrame:
     return rounded(graph.pagerank(t.interactions(), 3), "rank")
 
 
+@query
+def link_lists(t: Lens) -> DataFrame:
+    lists = graph.adjacency(t.interactions(), size=8)
+    return lists.select("src", "block", F.array_join("targets", ",").alias("targets"))
+
+
 @query
 def gene_disease_top(t: Lens) -> DataFrame:
     return disease.top_association(t.gene_diseases())

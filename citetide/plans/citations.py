@@ -17,6 +17,7 @@ from citetide.operators.counting import count_by, distinct_count_by, roll_up, su
 from citetide.operators.dedupe import gene_attributes, one_year_per_pub, years_per_pub
 from citetide.operators.skew import hot_keys, is_small, skew_join
 from citetide.operators.topk import top_k
+from citetide.session import pin
 
 GENE = ("tax_id", "gene_id")
 ATTRIBUTES = ("symbol", "description", "type_of_gene")
@@ -155,18 +156,37 @@ def genes_per_paper(gene_info: DataFrame, gene2pubmed: DataFrame, dates: DataFra
     return papers.join(dates.select("pmid").distinct(), "pmid", "left_semi")
 
 
+def yearly_statistics(by_year: DataFrame) -> DataFrame:
+    """``statistic, year, type_of_gene, genes, citations`` from one scan of the yearly counts: a row per year
+    (``statistic`` is ``year``) and one per gene type (``type``).
+
+    Grouping sets first reduce the rows to one per gene and year and one per gene and type, combined in each task;
+    counting these rows then counts the different genes, so no task collects the genes of a group. Years and types
+    may be null.
+    """
+    sets = [["gene_id", "year"], ["gene_id", "type_of_gene"]]
+    of_year = F.grouping("type_of_gene") == 1
+    per_gene = by_year.groupingSets(sets, "gene_id", "year", "type_of_gene").agg(
+        F.when(of_year, "year").otherwise("type").alias("statistic"), F.sum("citations").alias("citations")
+    )
+    genes = F.count("gene_id").alias("genes")
+    return per_gene.groupBy("statistic", "year", "type_of_gene").agg(genes, F.sum("citations").alias("citations"))
+
+
 def corpus_stats(
     gene_info: DataFrame, gene2pubmed: DataFrame, dates: DataFrame, by_year: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """All corpus statistics. Pass ``by_year`` read back from its written table so that the shared counts
-    are computed once."""
+    """All corpus statistics. Those of years and types are views of one small written table
+    (:func:`yearly_statistics`), so the counts are computed once; pass ``by_year`` if they are at hand."""
     counts = gene_by_year(gene_info, gene2pubmed, dates) if by_year is None else by_year
+    found = pin(yearly_statistics(counts), ["statistic"])
+    years, types = found.filter("statistic = 'year'"), found.filter("statistic = 'type'")
     return {
-        "genes_per_year": genes_per_year(counts),
-        "citations_per_year": citations_per_year(counts),
+        "genes_per_year": years.select("year", "genes"),
+        "citations_per_year": years.select("year", "citations"),
         "genes_per_paper": genes_per_paper(gene_info, gene2pubmed, dates),
-        "citations_by_type": citations_by_type(counts),
-        "genes_by_type": genes_by_type(counts),
+        "citations_by_type": types.select("type_of_gene", "citations"),
+        "genes_by_type": types.select("type_of_gene", "genes"),
     }
 
 

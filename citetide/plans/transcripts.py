@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from citetide.functions.scalars import strip_version
 from citetide.operators.counting import first_by, roll_up
 from citetide.operators.dedupe import gene_of_refseq, one_locus_per_name
-from citetide.operators.skew import hot_keys, is_small, skew_join
+from citetide.operators.skew import skew_join
 from citetide.plans.citations import ATTRIBUTES, GENE, citation_counts
+from citetide.session import pin
 
 LOCUS = ("chrom", "tx_start", "tx_end")
 
@@ -56,10 +57,17 @@ def transcript_totals(by_year: DataFrame) -> DataFrame:
     return roll_up(by_year)
 
 
+def mark_gene_ids(refgene: DataFrame, gene2refseq: DataFrame) -> DataFrame:
+    """The transcripts with ``gene_id`` in front and ``has_gene`` behind, from one join, as a written table in which the
+    rows with and without a gene lie apart."""
+    genes = gene_of_refseq(gene2refseq).select(F.col("refseq_id").alias("name"), "gene_id", F.lit(True).alias("has_gene"))
+    marked = skew_join(refgene, genes, "name", "left", unique=True)
+    return pin(
+        marked.select("gene_id", *refgene.columns, F.coalesce("has_gene", F.lit(False)).alias("has_gene")), ["has_gene"]
+    )
+
+
 def add_gene_id(refgene: DataFrame, gene2refseq: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Transcripts with ``gene_id`` in front, and the names of transcripts without a gene."""
-    genes = gene_of_refseq(gene2refseq).select(F.col("refseq_id").alias("name"), "gene_id")
-    hot = [] if is_small(refgene) or is_small(genes) else hot_keys(refgene, ["name"])
-    matched = skew_join(refgene, genes, "name", hot=hot).select("gene_id", *refgene.columns)
-    unmatched = skew_join(refgene.select("name", "chrom", "tx_start"), genes, "name", "left_anti", hot=hot)
-    return matched, unmatched.select("name")
+    marked = mark_gene_ids(refgene, gene2refseq)
+    return marked.filter("has_gene").drop("has_gene"), marked.filter("not has_gene").select("name")

@@ -29,6 +29,18 @@ def write_table(
     df.write.mode("overwrite").format(fmt).options(**options).partitionBy(*partition_by).save(path)
 
 
+def write_bucketed(df: DataFrame, name: str, by: Sequence[str], buckets: int, path: str | None = None) -> DataFrame:
+    """Write the table ``name`` with its rows hashed by ``by`` into ``buckets`` files and sorted in them, and read it.
+
+    Tables with the same buckets are joined and grouped by these columns without a shuffle, in every later report.
+    The warehouse folder, or ``path``, must be one that all executors share. A key stays in one bucket: use it for
+    columns without hot keys, and enough buckets that one fits a task.
+    """
+    writer = df.repartition(buckets, *by).write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by)
+    (writer if path is None else writer.option("path", path)).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_tsv(
     df: DataFrame, path: str, header: bool = False, partition_by: Sequence[str] = (), null: str = ""
 ) -> None:
