@@ -45,9 +45,9 @@ SCALE, HIDES = 2_000_000, 80
 BURST, ENTRIES = 4096, 300_000
 #: Different words that a task numbers before it spills all and begins again; bits of a number.
 WORDS, ID_BITS = 200_000, 21
-#: Prefix partitions, steps over which the phrases of a first word are spread, and rows and bytes of text that are
-#: worked on at once.
-BUCKETS, SUBKEYS, ROWS, BYTES = 4096, 128, 1024, 1 << 20
+#: Prefix partitions: so many, or four for each partition of a shuffle if these are more. Steps over which the phrases
+#: of a first word are spread. Rows of a batch that are worked on at once.
+BUCKETS, SUBKEYS, ROWS = 1024, 128, 1024
 UNKNOWN = "und"
 WORD, BLANK, BREAK = 0, 1, 2
 RUNS = "lang string, bucket int, phrases array<string>, counts array<bigint>"
@@ -237,8 +237,8 @@ def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 class Counter:
     """Counts the phrases of one length in a partition and gives them out as sorted runs."""
 
-    def __init__(self, size: int, table: np.ndarray | None, entries: int, burst: int):
-        self.size, self.table, self.entries = size, table, entries
+    def __init__(self, size: int, table: np.ndarray | None, buckets: int, entries: int, burst: int):
+        self.size, self.table, self.buckets, self.entries = size, table, buckets, entries
         self.trie, self.names = HatTrie(max(1, size - 1), burst), Words()
 
     def take(self, lang: str, tokens: Tokens) -> Iterator[pa.RecordBatch]:
@@ -277,8 +277,8 @@ class Counter:
         seeds = np.array([seeded(x) for x in langs], U64)
         lang = lang[columns[0]]
         head, whole = hashes[columns[0]], chained([hashes[c] for c in columns], U64(0))
-        bucket = ((mix(head + seeds[lang]) + whole % U64(SUBKEYS)) % U64(BUCKETS)).astype(np.int32)
-        order = np.lexsort([whole, head, lang * BUCKETS + bucket])
+        bucket = ((mix(head + seeds[lang]) + whole % U64(SUBKEYS)) % U64(self.buckets)).astype(np.int32)
+        order = np.lexsort([whole, head, lang * self.buckets + bucket])
         lang, bucket = lang[order], bucket[order]
         begin = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (bucket[1:] != bucket[:-1])]))
         bounds = pa.array(np.append(begin, len(order)), pa.int32())
@@ -301,14 +301,14 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
             yield lang, part.filter(pc.equal(part.column("lang"), lang))
 
 
-def _counted(size: int, table: np.ndarray | None, entries: int = ENTRIES, burst: int = BURST):
+def _counted(size: int, table: np.ndarray | None, buckets: int = BUCKETS, entries: int = ENTRIES, burst: int = BURST):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, fold, classes = SpanHasher(), fold_table(), letter_classes()
-        counter = Counter(size, table, entries, burst)
+        counter = Counter(size, table, buckets, entries, burst)
         totals: dict[str, int] = {}
         for batch in batches:
             for lang, part in _by_lang(batch):
-                for _, data, offsets in blocks(part, "text", BYTES):
+                for _, data, offsets in blocks(part, "text"):
                     tokens = Tokens(data, offsets, hasher, fold, classes)
                     totals[lang] = totals.get(lang, 0) + tokens.count
                     yield from counter.take(lang, tokens)
@@ -347,9 +347,10 @@ def phrase_counts(
 ) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, n, words`` of all phrases that occur ``least`` times, and ``lang, n`` with the number of words."""
     rows = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text")
+    buckets = max(BUCKETS, 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     levels, totals, table = [], None, None
     for size in range(1, longest + 1):
-        found = merged(rows.mapInArrow(_counted(size, table, entries, burst), RUNS))
+        found = merged(rows.mapInArrow(_counted(size, table, buckets, entries, burst), RUNS))
         held = pin(found.where((F.col("n") >= least) | F.col("phrase").isNull()))
         if size == 1:
             totals = held.where("phrase is null").select("lang", "n")
