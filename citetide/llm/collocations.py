@@ -42,12 +42,12 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 #: Parts of a score, and the share (in hundredths) of a longer phrase that hides the ones inside it.
 SCALE, HIDES = 2_000_000, 80
 #: Phrases of a container before it bursts, and of a task before it spills.
-BURST, ENTRIES = 4096, 300_000
+BURST, ENTRIES = 4096, 240_000
 #: Different words that a task numbers before it spills all and begins again; bits of a number.
-WORDS, ID_BITS = 200_000, 21
+WORDS, ID_BITS = 160_000, 21
 #: Prefix partitions: so many, or four for each partition of a shuffle if these are more. Steps over which the phrases
 #: of a first word are spread. Rows of a batch that are worked on at once.
-BUCKETS, SUBKEYS, ROWS = 1024, 128, 1024
+BUCKETS, SUBKEYS, ROWS = 1024, 128, 512
 UNKNOWN = "und"
 WORD, BLANK, BREAK = 0, 1, 2
 RUNS = "lang string, bucket int, phrases array<string>, counts array<bigint>"
@@ -291,6 +291,8 @@ class Counter:
             pa.ListArray.from_arrays(bounds, pa.array(counts[order])),
         ]
         yield pa.RecordBatch.from_arrays(out, ["lang", "bucket", "phrases", "counts"])
+        del out, phrase, names, first, rest, counts, order
+        pa.default_memory_pool().release_unused()
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
