@@ -463,6 +463,15 @@ STATEMENTS: dict[str, str] = {
     "gene_disease_genes": _statement(
         ["gene_diseases"], """SELECT "geneId" FROM gene_diseases WHERE "associationType" = 'GeneticVariation'"""
     ),
+    "disease_by_month": _statement(
+        ["gene2pubmed", "gene_diseases"],
+        """SELECT disease_id, month, count(*) AS genes, CAST(sum(citations) AS BIGINT) AS citations
+           FROM (SELECT DISTINCT "geneId" AS gene_id, "diseaseId" AS disease_id FROM gene_diseases)
+           JOIN (SELECT gene_id, strftime(day, '%Y-%m') AS month, count(*) AS citations
+                 FROM gene2pubmed JOIN (SELECT l_orderkey AS pmid, max(CAST(l_shipdate AS DATE)) AS day FROM lineitem GROUP BY 1) USING (pmid)
+                 GROUP BY 1, 2) USING (gene_id)
+           GROUP BY 1, 2""",
+    ),
     "column_frequency": """
         SELECT CAST(l_suppkey AS VARCHAR) AS value, count(*) AS occurrences FROM lineitem GROUP BY 1""",
     "daily_ids": """

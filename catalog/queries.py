@@ -418,6 +418,13 @@ def gene_disease_genes(t: Lens) -> DataFrame:
     return disease.associated_genes(t.gene_diseases())
 
 
+@query
+def disease_by_month(t: Lens) -> DataFrame:
+    months = disease.gene_by_month(t.gene2pubmed(), t.pmid_dates_multi())
+    found = disease.disease_by_month(months, t.gene_diseases())
+    return found.withColumn("month", F.date_format("month", "yyyy-MM"))
+
+
 @query
 def column_frequency(t: Lens) -> DataFrame:
     return columns.count_by_column(t.lines(), 3)

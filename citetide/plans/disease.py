@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from citetide.operators.skew import KeyStatistics, skew_join
 from citetide.sinks import register
 
 
@@ -32,3 +34,27 @@ def associated_genes(
     session = register_gene_diseases(associations, view).sparkSession
     statement = "SELECT geneId FROM IDENTIFIER(:view) WHERE associationType = :type"
     return register(session.sql(statement, {"type": association_type, "view": view}), results)
+
+
+def gene_by_month(gene2pubmed: DataFrame, dates: DataFrame) -> DataFrame:
+    """``gene_id, month, citations``: citation rows per gene and month (its first day). A paper counts in the month of
+    its latest day; papers without a day do not count."""
+    months = dates.filter(F.col("pub_date").isNotNull()).groupBy("pmid").agg(F.max("pub_date").alias("pub_date"))
+    months = months.select("pmid", F.trunc("pub_date", "month").alias("month"))
+    dated = skew_join(gene2pubmed.select("gene_id", "pmid"), months, "pmid", unique=True)
+    return dated.groupBy("gene_id", "month").agg(F.count("*").alias("citations"))
+
+
+def disease_by_month(gene_months: DataFrame, associations: DataFrame) -> DataFrame:
+    """``disease_id, month, genes, citations``: the monthly counts of a disease's genes added up.
+
+    Genes meet their diseases after counting, so a gene with many diseases repeats its counts and not its citations; a
+    gene is one of a disease's however many associations name it. Sort the result by month for a report.
+    """
+    pairs = associations.select(F.col("geneId").alias("gene_id"), F.col("diseaseId").alias("disease_id"))
+    known = KeyStatistics({"pairs": (pairs, ["gene_id"]), "months": (gene_months, ["gene_id"])})
+    joined = skew_join(
+        pairs.distinct(), gene_months, "gene_id", both=True, probe=known["pairs"], probe_right=known["months"]
+    )
+    totals = joined.groupBy("disease_id", "month")
+    return totals.agg(F.count("*").alias("genes"), F.sum("citations").alias("citations"))

@@ -1,10 +1,13 @@
 """How reports read and move their tables: one scan, one join, no exchange; and the rows they give."""
 
+import datetime
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from citetide import sinks
-from citetide.plans import citations, ranking, transcripts
+from citetide import sinks, streaming
+from citetide.plans import citations, disease, increments, ranking, transcripts
 
 
 def final_plan(df):
@@ -114,3 +117,77 @@ def test_gene_lists_of_a_year(spark, values):
     assert whole == sorted(((g % 7 + 1, g) for g in range(40) if g % 7 >= 2), reverse=True)
     top = ranking.top_genes_by_year(genes, pairs, dates, k=5, min_count=2).orderBy("pos").collect()
     assert [(r.citations, r.gene_id) for r in top] == whole[:5]
+
+
+def citing(spark):
+    """A third of the citations go to one paper, a third come from one gene; some rows are repeated."""
+    rng = random.Random(12)
+    rows = [(9, rng.randrange(20), 5) for _ in range(100)] + [(9, 3, rng.randrange(60)) for _ in range(100)]
+    rows += [(rng.choice([9, 10]), rng.randrange(20), rng.randrange(60)) for _ in range(100)]
+    return spark.createDataFrame(rows, "tax_id int, gene_id bigint, pmid bigint")
+
+
+def test_batches_of_dates_add_up_to_a_full_count(spark, values, tmp_path):
+    """In any number of batches, with papers dated twice and later, undated papers, and batches run again."""
+    pairs, rng = citing(spark), random.Random(4)
+    batches = [[(rng.choice([None, *range(70)]), rng.choice([None, 1999, 2000, 2001, 2002])) for _ in range(40)] for _ in range(5)] + [[]]
+    frames = [spark.createDataFrame(rows, "pmid bigint, year int") for rows in batches]
+    store, states = str(tmp_path / "store"), []
+    for number, frame in enumerate(frames):
+        increments.add_batch(pairs, frame, store, number)
+        whole = spark.createDataFrame([r for rows in batches[: number + 1] for r in rows if None not in r], "pmid bigint, year int")
+        states.append(values(increments.current_counts(spark, store)))
+        assert states[-1] == values(citations.citation_counts(pairs, whole))
+    for number in (2, 5, 0, 4):  # run again, in any order
+        increments.add_batch(pairs, frames[number], store, number)
+        assert values(increments.current_counts(spark, store)) == states[-1]
+    assert increments.current_counts(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_corrected_batch_is_taken_over(spark, values, tmp_path):
+    pairs, store = citing(spark), str(tmp_path / "store")
+    first, second, better = ([(p, y) for p in range(60)] for y in (2000, 2001, 1999))
+    for number, rows in ((0, first), (1, second), (1, better)):
+        increments.add_batch(pairs, spark.createDataFrame(rows, "pmid bigint, year int"), store, number)
+    assert values(increments.current_counts(spark, store)) == values(citations.citation_counts(pairs, spark.createDataFrame(first, "pmid bigint, year int")))
+
+
+def test_counts_follow_the_daily_files(spark, values, tmp_path):
+    pairs, days = citing(spark), tmp_path / "days"
+    for day, ids in (("2001-01-05", range(30)), ("2002-03-01", range(20, 50)), ("2000-07-07", range(60))):
+        (days / day).mkdir(parents=True)
+        (days / day / "ids.ssv").write_text("".join(f"{day} {i}\n" for i in ids))
+        for _ in range(2):  # the second run finds nothing new
+            stream = streaming.stream_daily_dates(spark, str(days))
+            increments.follow(pairs, stream, str(tmp_path / "store"), str(tmp_path / "state")).awaitTermination()
+    rows = [(i, 2002 if 20 <= i < 50 else 2001 if i < 30 else 2000) for i in range(60)]
+    whole = spark.createDataFrame(rows, "pmid bigint, year int")
+    assert values(increments.current_counts(spark, str(tmp_path / "store"))) == values(citations.citation_counts(pairs, whole))
+
+
+@pytest.mark.parametrize("keys", ["plain", "spread"])
+def test_months_of_diseases(spark, values, request, keys):
+    if keys == "spread":
+        request.getfixturevalue("salted")
+    pairs = citing(spark)
+    days = [(n % 60, None if n % 9 == 0 else datetime.date(2000 + n % 2, n % 12 + 1, n % 28 + 1)) for n in range(150)]
+    dates = spark.createDataFrame(days, "pmid bigint, pub_date date")
+    held = [(g, f"d{g % 4}", k) for g in range(25) for k in ("a", "b")] + [(3, f"d{n}", "a") for n in range(40)] + [(None, "d1", "a")]
+    links = spark.createDataFrame(held, "geneId bigint, diseaseId string, associationType string")
+    latest = {}
+    for pmid, day in days:
+        if day:
+            latest[pmid] = max(day, latest.get(pmid, day))
+    months = {}
+    for _, gene, pmid in pairs.collect():
+        if pmid in latest:
+            key = gene, latest[pmid].replace(day=1)
+            months[key] = months.get(key, 0) + 1
+    expected = {}
+    for gene, named in {(g, d) for g, d, _ in held}:
+        for (of, month), n in months.items():
+            if of == gene:
+                genes, count = expected.get((named, month), (0, 0))
+                expected[named, month] = genes + 1, count + n
+    found = disease.disease_by_month(disease.gene_by_month(pairs, dates), links)
+    assert values(found) == sorted(((*k, *v) for k, v in expected.items()), key=repr)
