@@ -389,7 +389,7 @@ STATEMENTS: dict[str, str] = {
     "gene_refseq_pairs": _statement(["pairs"], "SELECT * FROM pairs"),
     "located_refseq": _statement(
         ["named", "refgene"],
-        "SELECT DISTINCT tax_id, gene_id, refseq_id FROM named WHERE refseq_id IN (SELECT name FROM refgene)",
+        "SELECT DISTINCT tax_id, gene_id, refseq_id FROM named WHERE refseq_id IN (SELECT name FROM refgene WHERE NOT contains(chrom, '_') AND name <> '')",
     ),
     "gene_transcripts": _statement(
         ["named", "gene_info"],
@@ -419,7 +419,7 @@ STATEMENTS: dict[str, str] = {
     "refgene_one_locus": _statement(
         ["refgene", "refseq_counts"],
         """SELECT r.*, c.citations
-           FROM (SELECT * FROM refgene QUALIFY row_number() OVER (PARTITION BY name ORDER BY chrom, tx_start, tx_end) = 1) r
+           FROM (SELECT * FROM refgene WHERE NOT contains(chrom, '_') AND name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY chrom, tx_start, tx_end) = 1) r
                 JOIN refseq_counts c ON r.name = c.refseq_id""",
     ),
     "refseq_citations": _statement(

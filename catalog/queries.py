@@ -264,7 +264,7 @@ def gene_refseq_pairs(t: Lens) -> DataFrame:
 
 @query
 def located_refseq(t: Lens) -> DataFrame:
-    return transcripts.located_refseq(t.gene2refseq(), t.refgene())
+    return transcripts.located_refseq(t.gene2refseq(), primary_chromosomes(t.refgene()))
 
 
 @query
@@ -354,7 +354,7 @@ def refgene_counts_minus(t: Lens) -> DataFrame:
 @query
 def refgene_one_locus(t: Lens) -> DataFrame:
     counts = refgene.refseq_counts(t.gene2pubmed(), t.gene2refseq())
-    return refgene.attach_counts(t.refgene(), counts, one_locus=True)
+    return refgene.attach_counts(primary_chromosomes(t.refgene()), counts, one_locus=True)
 
 
 @query
