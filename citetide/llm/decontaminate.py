@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from citetide.session import pin
 
 from .rows import fresh, with_fields
-from .textblocks import U64, SpanHasher, blocks, fold_table, spans, word_table
+from .textblocks import U64, SpanHasher, blocks, fold_table, frugal, spans, word_table
 
 WINDOW = 13
 BLOCK = 8
@@ -231,7 +231,7 @@ def find_items(documents: DataFrame, benchmark: DataFrame, part_bytes: int = PAR
     for part in range(parts):
         inside = F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part
         held = [(bytes(r.pattern), r.n, sorted(r["items"])) for r in found.where(inside).collect()]
-        table = table.mapInArrow(_searcher(held, ranges, items, n_words, n_hit), schema)
+        table = table.mapInArrow(frugal(_searcher(held, ranges, items, n_words, n_hit)), schema)
         if part + 1 < parts:
             table = pin(table)
     dirty = (F.col(n_hit) > 0) & (F.col(n_hit) * 20 >= F.col(n_words))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import U64, mix
+from .textblocks import U64, frugal, mix
 
 WORDS = 1 << 19
 
@@ -60,4 +60,4 @@ def sift(rows: DataFrame, column: str, table: np.ndarray, inside: bool = True) -
             hit = may_contain(table, batch.column(column).to_numpy())
             yield batch.filter(pa.array(hit == inside))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(frugal(run), rows.schema)

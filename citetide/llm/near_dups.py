@@ -38,7 +38,7 @@ from citetide.session import pin
 from .components import components
 from .membership import build, may_contain, sift
 from .rows import fresh
-from .textblocks import U64, SpanHasher, blocks, bound_batches, fold_table, mix, spans, uniform, windows, word_table
+from .textblocks import U64, SpanHasher, blocks, bound_batches, fold_table, frugal, mix, spans, uniform, windows, word_table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 6
@@ -169,7 +169,7 @@ def weights_of(nodes: DataFrame, texts: DataFrame, counted: bool = False) -> Dat
     """``node``, ``grams`` and ``weights`` of the ``nodes``; ``texts`` has ``node`` and ``text``, copies included."""
     # copies of a text make the same row, of which one is kept
     return pin(
-        texts.mapInArrow(_weights(counted, build(nodes, "node")), "node long, grams binary, weights binary")
+        texts.mapInArrow(frugal(_weights(counted, build(nodes, "node"))), "node long, grams binary, weights binary")
         .groupBy("node")
         .agg(F.first("grams").alias("grams"), F.first("weights").alias("weights"))
     )
@@ -179,7 +179,7 @@ def verify(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) that are linked."""
     left = weights.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"), F.col("weights").alias("weights_a"))
     right = weights.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"), F.col("weights").alias("weights_b"))
-    return pairs.join(right, "b").join(left, "a").mapInArrow(_compare, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").mapInArrow(frugal(_compare), "a long, b long")
 
 
 def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -260,7 +260,7 @@ def links_across(members: DataFrame, labels: DataFrame, nodes: DataFrame, weight
         F.lit(True).alias("outer"), *rest,
     )
     both = inner.unionByName(outer).repartition("main", "i", "j").sortWithinPartitions("main", "i", "j")
-    return both.mapInArrow(_across, "a long, b long")
+    return both.mapInArrow(frugal(_across), "a long, b long")
 
 
 def centres(members: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ def classes(documents: DataFrame, counted: bool = False) -> DataFrame:
     bound_batches(documents.sparkSession)
     texts = documents.select("doc_id", F.xxhash64("text").alias("node"), "text")
     known = texts.where("text is not null")
-    rows = pin(known.mapInArrow(_banded(counted), "doc_id long, node long, bands array<long>"))
+    rows = pin(known.mapInArrow(frugal(_banded(counted)), "doc_id long, node long, bands array<long>"))
     nodes = pin(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")

@@ -29,19 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rows import fresh, with_fields
-from .textblocks import U64, SpanHasher, blocks, bound_batches, mix, uniform
+from .textblocks import U64, SpanHasher, blocks, bound_batches, frugal, mix, uniform
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, ALPHA = 2, 2.0
-#: Words whose lattices a task keeps before it starts afresh; this bounds memory, not results.
-KEPT_WORDS = 400_000
+#: Bytes of lattices that a task keeps before it starts afresh; this bounds memory, not results.
+KEPT_BYTES = 64 << 20
 #: Text bytes encoded at once.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
 class Vocabulary:
-    """Pieces, their log probabilities, and a trie in an open-addressed table of (state, character)."""
+    """Pieces, their log probabilities, and a trie in an open-addressed table of (state, character).
+
+    It is built once, on the driver; tasks receive the finished arrays.
+    """
 
     BITS, EMPTY = 19, np.uint64((1 << 64) - 1)
 
@@ -86,11 +89,11 @@ class Vocabulary:
                     self.ends.append(-1)
                 state = nxt
             self.ends[state] = i
-        self.ends = np.array(self.ends)
+        self.ends = np.array(self.ends, np.int32)
         while len(states) * 3 > 1 << self.BITS:
             self.BITS += 1
         self.keys = np.full(1 << self.BITS, self.EMPTY, U64)
-        self.next = np.zeros(1 << self.BITS, np.int64)
+        self.next = np.zeros(1 << self.BITS, np.int32)
         keys = np.array([(s << 21) | ord(c) for s, c in states], U64)
         for slot, key, state in zip(self.slot(keys).tolist(), keys, states.values()):
             while self.keys[slot] != self.EMPTY:
@@ -101,6 +104,10 @@ class Vocabulary:
         self.at = np.concatenate([[0], np.cumsum(self.size_of)])[:-1]
         self.letters = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
+    def __getstate__(self) -> dict:
+        """The arrays; the pieces one by one are not sent."""
+        return {name: value for name, value in vars(self).items() if name != "bytes_of"}
+
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _GOLDEN) >> U64(64 - self.BITS)).astype(np.int64)
 
@@ -142,13 +149,33 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.end, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words = self.places = self.edges = 0
+        # the hashes of the words in order, and the word's number for each
+        self.keys, self.numbers = np.zeros(0, U64), np.zeros(0, np.int32)
+        self.end, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.first = np.zeros(1, np.int64)
         self.cum, self.back = np.zeros(0, np.float32), np.zeros(0, np.int16)
         self.piece, self.before = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def add(self, words: list[str], keys: list[int]) -> None:
+    def nbytes(self) -> int:
+        return sum(value.nbytes for value in vars(self).values() if isinstance(value, np.ndarray))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the words with these hashes, -1 for those not held."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.numbers[at], -1)
+
+    def _put(self, name: str, used: int, values: np.ndarray) -> None:
+        """Write ``values`` behind the ``used`` first entries of an array, which grows in place by a quarter or more."""
+        held = getattr(self, name)
+        if used + len(values) > len(held):
+            held.resize(max(used + len(values), len(held) * 5 // 4), refcheck=False)
+        held[used : used + len(values)] = values
+
+    def add(self, words: list[str], keys: np.ndarray) -> None:
+        """Filter ``words``, whose hashes ``keys`` are in order and not held yet."""
         v = self.v
         size = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(-size, kind="stable")
@@ -158,12 +185,12 @@ class Lattices:
         # words of at least n letters, and the first place at distance n
         alive = np.searchsorted(-length, -np.arange(longest + 1), side="right")
         base = np.concatenate([[0], np.cumsum(alive)])
-        spot = np.repeat(np.arange(longest), alive[1:])
-        word = np.arange(len(text)) - (base[1:-1] - alive[0])[spot]
-        letters = text[(np.cumsum(size) - size)[order][word] + spot].astype(np.int64)
+        spot = np.repeat(np.arange(longest, dtype=np.int32), alive[1:])
+        word = (np.arange(len(text)) - (base[1:-1] - alive[0])[spot]).astype(np.int32)
+        letters = text[(np.cumsum(size) - size)[order][word] + spot].astype(np.int32)
         shift = base - alive[0]  # letter n of word w is letters[shift[n + 1] + w]
         begin, target, piece, back = [], [], [], []
-        at, state, on, w = np.arange(len(letters)), np.zeros(len(letters), np.int64), spot, word
+        state, on, w = np.zeros(len(letters), np.int32), spot, word
         for n in range(1, v.longest + 1):
             state = v.step(state, letters[shift[on + n] + w] if n > 1 else letters)
             ends = np.where(state >= 0, v.ends[state], -1)
@@ -174,8 +201,8 @@ class Lattices:
                 full = np.arange(len(ends))
             else:
                 full = np.flatnonzero(ends >= 0)
-            begin.append(base[on[full]] + w[full])
-            target.append(base[on[full] + n] + w[full])
+            begin.append((base[on[full]] + w[full]).astype(np.int32))
+            target.append((base[on[full] + n] + w[full]).astype(np.int32))
             piece.append(ends[full])
             back.append(np.full(len(full), n, np.int16))
             going = np.flatnonzero((state >= 0) & (on + n < length[w]))
@@ -209,17 +236,19 @@ class Lattices:
             share[here] += share[here - 1]
             r += 1
             places = places[counts[places] > r]
-        at = len(self.first) - 1
         ends = np.empty(len(words), np.int64)
         ends[order] = base[length] + np.arange(len(words))
-        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(words))))
-        self.end = np.concatenate([self.end, at + ends])
-        self.length = np.concatenate([self.length, size])
-        self.first = np.concatenate([self.first, self.first[-1] + first[1:]])
-        self.cum = np.concatenate([self.cum, share.astype(np.float32)])
-        self.back = np.concatenate([self.back, back])
-        self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
-        self.before = np.concatenate([self.before, (begin + at).astype(np.int32)])
+        spots = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, spots, keys)
+        self.numbers = np.insert(self.numbers, spots, np.arange(self.words, self.words + len(words)))
+        self._put("end", self.words, self.places + ends)
+        self._put("length", self.words, size)
+        self._put("first", self.places + 1, self.edges + first[1:])
+        self._put("cum", self.edges, share)
+        self._put("back", self.edges, back)
+        self._put("piece", self.edges, piece)
+        self._put("before", self.edges, begin + self.places)
+        self.words, self.places, self.edges = self.words + len(words), self.places + len(counts), self.edges + len(share)
 
     def draw(self, words: np.ndarray, seeds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of the words in order, and the number of each; ``at`` is where a word begins in its text."""
@@ -285,32 +314,30 @@ def sample(lattices: Lattices, hasher: SpanHasher, data: np.ndarray, offsets: np
     text, bounds, starts, ends = split(data, offsets, lattices.v.splits_lines)
     if exact:
         lattices = Lattices(lattices.v)
-        hashes, index, inverse = np.arange(len(starts), dtype=U64), np.arange(len(starts)), np.arange(len(starts))
+        keys, index, inverse = np.arange(len(starts), dtype=U64), np.arange(len(starts)), np.arange(len(starts))
     else:
-        hashes, index, inverse = np.unique(hasher.load(text).of(starts, ends), return_index=True, return_inverse=True)
-    keys = hashes.tolist()
-    missing = [i for i, key in enumerate(keys) if key not in lattices.known]
-    if missing:
+        keys, index, inverse = np.unique(hasher.load(text).of(starts, ends), return_index=True, return_inverse=True)
+    missing = np.flatnonzero(lattices.find(keys) < 0)
+    if len(missing):
         held = text.tobytes()
-        begin, end = starts[index].tolist(), ends[index].tolist()
-        lattices.add([held[begin[i] : end[i]].decode() for i in missing], [keys[i] for i in missing])
-    words = np.fromiter(map(lattices.known.__getitem__, keys), np.int64, len(keys))[inverse]
+        begin, end = starts[index[missing]].tolist(), ends[index[missing]].tolist()
+        lattices.add([held[a:b].decode() for a, b in zip(begin, end)], keys[missing])
+    words = lattices.find(keys)[inverse]
     of = np.searchsorted(bounds, starts, side="right") - 1
     ids, counts = lattices.draw(words, seeds[of], starts - bounds[of])
     cuts = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, bounds)]
     return expand(ids, np.diff(cuts), lattices.v.byte_ids)
 
 
-def _encoder(model: bytes, alpha: float, seed: int, names: list[str]):
+def _encoder(vocabulary: Vocabulary, seed: int, names: list[str]):
     """Arrow function that adds pieces, and with a second name whether they decode to the text."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model, alpha)
         lattices, hasher = Lattices(vocabulary), SpanHasher()
         for batch in batches:
             for part, data, offsets in blocks(batch, "text", PART_BYTES):
                 keys = mix(part.column(part.num_columns - 1).to_numpy().astype(U64) ^ mix(np.array([seed], U64)))
-                if len(lattices.known) > KEPT_WORDS:
+                if lattices.nbytes() > KEPT_BYTES:
                     lattices.clear()
                 ids, counts = sample(lattices, hasher, data, offsets, keys)
                 decoded, bounds = vocabulary.decode(ids, counts)
@@ -351,17 +378,16 @@ def encode(
     names = [fresh(documents, "pieces")] + [fresh(documents, "lossless")] * check
     keyed = documents.withColumn(fresh(documents, "row_key"), F.xxhash64(*(F.col(f"`{k}`") for k in keys)))
     schema = with_fields(documents, ", ".join(f"`{n}` {t}" for n, t in zip(names, ("array<int>", "boolean"))))
-    return keyed.mapInArrow(_encoder(held, alpha, seed, names), schema)
+    return keyed.mapInArrow(frugal(_encoder(Vocabulary(held, alpha), seed, names)), schema)
 
 
 def decode(encoded: DataFrame, column: str = "pieces", model: str = MODEL) -> DataFrame:
     """The rows with ``decoded``, the text that the pieces in ``column`` spell."""
     with open(model, "rb") as file:
-        held = file.read()
+        vocabulary = Vocabulary(file.read())
     name = fresh(encoded, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(held)
         for batch in batches:
             lists = batch.column(column)
             counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -370,7 +396,7 @@ def decode(encoded: DataFrame, column: str = "pieces", model: str = MODEL) -> Da
             texts = [None if null else held_bytes[a:b].decode() for null, a, b in zip(pc.is_null(lists).to_pylist(), bounds.tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
-    return encoded.mapInArrow(run, with_fields(encoded, f"`{name}` string"))
+    return encoded.mapInArrow(frugal(run), with_fields(encoded, f"`{name}` string"))
 
 
 def encode_report(documents: DataFrame, **options) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from citetide.session import pin
 
 from .rows import fresh, with_fields
-from .textblocks import U64, SpanHasher, blocks, bound_batches, mix, row_sums, spans, windows
+from .textblocks import U64, SpanHasher, blocks, bound_batches, frugal, mix, row_sums, spans, windows
 
 BUCKETS = 1 << 14
 #: At most so many labelled rows, the first by a hash of their id, fit the target model and the cut.
@@ -105,7 +105,7 @@ def fit(documents: DataFrame, sample: DataFrame) -> np.ndarray:
     rows = documents.join(F.broadcast(sample), F.col("doc_id") == F.col("_id"), "left").select(
         "text", F.coalesce("_good", F.lit(False)).alias("good")
     )
-    counted = rows.mapInArrow(_count, "bucket long, raw long, target long")
+    counted = rows.mapInArrow(frugal(_count), "bucket long, raw long, target long")
     table = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     raw[table.bucket] += table.raw
@@ -126,7 +126,7 @@ def weigh(documents: DataFrame, ratios: np.ndarray, name: str = "log_weight") ->
                 weights = row_sums(ratios[buckets], rows, part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weights)], [*part.schema.names, name])
 
-    return documents.mapInArrow(score, with_fields(documents, f"`{name}` double"))
+    return documents.mapInArrow(frugal(score), with_fields(documents, f"`{name}` double"))
 
 
 def gumbel(*row: str, seed: int = SEED) -> Column:
