@@ -4,6 +4,37 @@ from __future__ import annotations
 
 import string
 
+OP8 = """
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, ('0x' || substr(md5(text), 1, 15))::BIGINT AS tk, string_split(text, chr(10)) AS ls
+  FROM documents),
+lines AS (SELECT DISTINCT tk, line FROM (SELECT tk, unnest(ls) AS line FROM texts) WHERE trim(line, ' ') <> ''),
+split AS (SELECT tk, line, string_split(regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS w FROM lines),
+leafed AS (SELECT tk, line, w, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf FROM split),
+leaves AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT tk) >= 10),
+cand AS (SELECT * FROM leafed SEMI JOIN leaves USING (leaf)),
+tokens AS (SELECT leaf, line, tk, unnest(w) AS token, unnest(range(len(w))) AS at FROM cand),
+fixed AS (SELECT leaf, at, token FROM tokens WHERE token <> '<*>' GROUP BY ALL HAVING count(*) >= 10),
+kinds AS (
+  SELECT leaf, line, list(CASE WHEN f.token IS NULL THEN '<*>' ELSE token END ORDER BY at) AS fields
+  FROM (SELECT DISTINCT leaf, line, token, at FROM tokens) t LEFT JOIN fixed f USING (leaf, at, token)
+  GROUP BY leaf, line HAVING 2 * count(f.token) >= count(*)),
+recurring AS (SELECT leaf, fields FROM cand JOIN kinds USING (leaf, line) GROUP BY ALL HAVING count(DISTINCT tk) >= 10),
+everywhere AS (
+  SELECT line FROM kinds SEMI JOIN recurring USING (leaf, fields) UNION SELECT line FROM lines GROUP BY line HAVING count(*) >= 10),
+keeper AS (SELECT line, min(tk) AS first FROM lines WHERE length(line) >= 40 GROUP BY line HAVING count(*) > 1),
+gone AS (
+  SELECT tk, line FROM lines SEMI JOIN everywhere USING (line)
+  UNION SELECT tk, line FROM lines JOIN keeper USING (line) WHERE tk > first),
+lost AS (SELECT tk, list(line) AS lost FROM gone GROUP BY tk),
+kept AS (
+  SELECT doc_id, text, ls, CASE WHEN lost IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(lost, x)) END AS k
+  FROM texts LEFT JOIN lost USING (tk))
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN len(k) = len(ls) THEN text ELSE coalesce(array_to_string(k, chr(10)), '') END AS text,
+  coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls) - len(k), 0)::BIGINT AS n_dropped
+FROM kept
+"""
+
 OP12 = f"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
@@ -61,4 +92,4 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 """
 
 
-STATEMENTS: dict[str, str] = {"op12_phrase_collocations": OP12, "op13_vector_codes": _op13()}
+STATEMENTS: dict[str, str] = {"op8_log_template_lines": OP8, "op12_phrase_collocations": OP12, "op13_vector_codes": _op13()}

@@ -197,7 +197,7 @@ def test_kept_bytes(spark):
 # ---- templates
 
 
-def brute_templates(texts, min_docs):
+def brute_templates(texts, min_docs, long=40):
     def masked(line):
         return [templates.WILD if any(c in "0123456789" for c in t) else t for t in line.split(" ")]
 
@@ -214,10 +214,19 @@ def brute_templates(texts, min_docs):
         if 2 * sum(f != templates.WILD for f in fields) >= len(fields):
             kinds[x] = (leaf(x), tuple(fields))
     support = collections.Counter(k for k, _ in {(kinds[x], t) for t, x in lines if x in kinds})
+    homes = collections.defaultdict(set)
+    for t, x in {(t, x) for t in set(texts) - {None} for x in t.split("\n") if x.strip(" ")}:
+        homes[x].add(t)
+
+    def goes(t, x):
+        if x in kinds and support[kinds[x]] >= min_docs or len(homes[x]) >= min_docs:
+            return True
+        return len(x) >= long and len(homes[x]) > 1 and t != min(homes[x], key=lambda h: hashlib.md5(h.encode()).hexdigest()[:15])
+
     out = []
     for t in texts:
         old = [] if t is None else t.split("\n")
-        kept = [x for x in old if not (x in kinds and support[kinds[x]] >= min_docs)]
+        kept = [x for x in old if not goes(t, x)]
         out.append((None if t is None else "\n".join(kept), len(old), len(old) - len(kept)))
     return sorted(out, key=repr)
 
@@ -239,6 +248,20 @@ def test_templates(spark):
     assert templates.drop_templates(frame.limit(0)).count() == 0
 
 
+def test_lines_recur_with_production_values(spark):
+    passage, digits, footer, short = helpers.prose(7, 80), "+1 555 0100 2019-01-01 12:00 ok", "著作権2024", "three short words"
+    texts = [f"{helpers.prose(i, 30)}\n{passage}" for i in range(9)]
+    texts += [f"{helpers.prose(100 + i, 30)}\n{digits}\n{footer}" for i in range(60)]
+    texts += [f"{helpers.prose(200 + i, 30)}\n{short}" for i in range(9)] + [texts[0]] * 3
+    found = [r.text.split("\n") for r in templates.drop_templates(helpers.documents(spark, texts)).collect()]
+    # a long line stays in one text and its copies
+    keeper = min(texts[:9], key=lambda t: hashlib.md5(t.encode()).hexdigest()[:15])
+    assert sum(passage in x for x in found) == texts.count(keeper)
+    assert not any(digits in x or footer in x for x in found)
+    assert sum(short in x for x in found) == 9
+    assert sorted(x[0] for x in found) == sorted(t.split("\n")[0] for t in texts)
+
+
 # ---- pieces
 
 
