@@ -2,10 +2,9 @@
 
 Words are the runs of ASCII letters (lower-cased), ASCII digits and characters beyond ASCII. A text's elements are
 its shingles of ``SHINGLE`` words; a text of fewer words, but not none, is one shingle. The similarity of two texts is
-the probability Jaccard of weighted shingles: with ``counted`` each has its number of occurrences as weight, otherwise
-all weigh the same and the probability Jaccard is the ordinary Jaccard of the sets. That is the default, as counts
-make texts alike that have little in common but one line many times over. Texts are linked if it is ``SIMILARITY`` or
-more; a class is what links join.
+the probability Jaccard of weighted shingles; the weight of a shingle is its number of occurrences, or 1 for each
+without ``counted``, which makes it the ordinary Jaccard of the sets. Texts are linked if it is ``SIMILARITY`` or more;
+a class is what links join.
 
 1. Sketch: every shingle sends arrivals of a Poisson process whose rate is its weight to random registers, each of
    which keeps its first arrival. A shingle stops once its next arrival comes after the latest of all registers'
@@ -16,7 +15,7 @@ more; a class is what links join.
 3. In each bucket every text is compared with the one that meets most texts in its buckets (the centre of a group of
    copies), over the shingles themselves, and components are formed. Buckets that still hold several components then
    have all their pairs across components compared by their bands, in blocks of bounded size, and those that share
-   two bands over the shingles. So links that do not touch a bucket's centre are found as well, pairs within a
+   a band over the shingles. So links that do not touch a bucket's centre are found as well, pairs within a
    component are left out, and no bucket is gathered in one task.
 
 Equal texts are always one class, also texts without words, which link with nothing else. A null text is a class
@@ -165,7 +164,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], ["a", "b"])
 
 
-def weights_of(nodes: DataFrame, texts: DataFrame, counted: bool = False) -> DataFrame:
+def weights_of(nodes: DataFrame, texts: DataFrame, counted: bool = True) -> DataFrame:
     """``node``, ``grams`` and ``weights`` of the ``nodes``; ``texts`` has ``node`` and ``text``, copies included."""
     # copies of a text make the same row, of which one is kept
     return pin(
@@ -205,7 +204,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams = [np.frombuffer(x[4], U64) for x in inner]
             weights = [np.frombuffer(x[5], np.uint32) if x[5] else None for x in inner]
             for _, node, own, keys, held_grams, held_weights in outer:
-                near = np.flatnonzero(((bands == keys).sum(axis=1) >= 2) & (component != own))
+                near = np.flatnonzero((bands == keys).any(axis=1) & (component != own))
                 if not len(near):
                     continue
                 mine = np.frombuffer(held_grams, U64)
@@ -232,8 +231,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links_across(members: DataFrame, labels: DataFrame, nodes: DataFrame, weights: DataFrame) -> DataFrame:
-    """Links between components that share buckets, at least one for each two that are linked by texts with two
-    common bands. ``members``: ``bucket``, ``node``; ``labels``: ``node``, ``component``; ``nodes``: ``node``,
+    """Links between components that share buckets, at least one for each two that are linked by texts with a
+    common band. ``members``: ``bucket``, ``node``; ``labels``: ``node``, ``component``; ``nodes``: ``node``,
     ``bands``.
 
     The texts of a bucket outside its largest component (outer) are compared with all its texts. Buckets with the
@@ -271,13 +270,14 @@ def centres(members: DataFrame) -> DataFrame:
     return best.select("bucket", F.col("best.node").alias("centre"))
 
 
-def classes(documents: DataFrame, counted: bool = False) -> DataFrame:
+def classes(documents: DataFrame, counted: bool = True) -> DataFrame:
     """``doc_id``, ``node`` (hash of the text), ``component`` (smallest node of the class; null for a null text) and
     ``class_id`` (smallest id of the class) of every document."""
     bound_batches(documents.sparkSession)
+    kind = documents.schema["doc_id"].dataType.simpleString()
     texts = documents.select("doc_id", F.xxhash64("text").alias("node"), "text")
     known = texts.where("text is not null")
-    rows = pin(known.mapInArrow(frugal(_banded(counted)), "doc_id long, node long, bands array<long>"))
+    rows = pin(known.mapInArrow(frugal(_banded(counted)), f"doc_id {kind}, node long, bands array<long>"))
     nodes = pin(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")

@@ -13,11 +13,11 @@ split AS (SELECT tk, line, string_split(regexp_replace(line, '[^ ]*[0-9][^ ]*',
 leafed AS (SELECT tk, line, w, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf FROM split),
 leaves AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT tk) >= 10),
 cand AS (SELECT * FROM leafed SEMI JOIN leaves USING (leaf)),
-tokens AS (SELECT leaf, line, tk, unnest(w) AS token, unnest(range(len(w))) AS at FROM cand),
-fixed AS (SELECT leaf, at, token FROM tokens WHERE token <> '<*>' GROUP BY ALL HAVING count(*) >= 10),
+tokens AS (SELECT leaf, line, tk, unnest(w) AS token, unnest(range(len(w))) AS spot FROM cand),
+fixed AS (SELECT leaf, spot, token FROM tokens WHERE token <> '<*>' GROUP BY ALL HAVING count(*) >= 10),
 kinds AS (
-  SELECT leaf, line, list(CASE WHEN f.token IS NULL THEN '<*>' ELSE token END ORDER BY at) AS fields
-  FROM (SELECT DISTINCT leaf, line, token, at FROM tokens) t LEFT JOIN fixed f USING (leaf, at, token)
+  SELECT leaf, line, list(CASE WHEN f.token IS NULL THEN '<*>' ELSE token END ORDER BY spot) AS fields
+  FROM (SELECT DISTINCT leaf, line, token, spot FROM tokens) t LEFT JOIN fixed f USING (leaf, spot, token)
   GROUP BY leaf, line HAVING 2 * count(f.token) >= count(*)),
 recurring AS (SELECT leaf, fields FROM cand JOIN kinds USING (leaf, line) GROUP BY ALL HAVING count(DISTINCT tk) >= 10),
 everywhere AS (

@@ -69,25 +69,34 @@ def test_decontamination_of_empty_tables(spark):
 # ---- near-duplicates
 
 
-def brute_classes(docs, similarity=0.8):
-    sets = [(d, t, frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1 if w else 0)))) for d, t in docs for w in [helpers.words(t)]]
-    parent = list(range(len(sets)))
+def probability_jaccard(x, y):
+    """Of two counters: the sum over common elements of their share under the larger of both weights."""
+    return sum(1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in x.keys() | y.keys()) for d in x.keys() & y.keys())
+
+
+def brute_classes(docs, similarity=0.8, alike=probability_jaccard):
+    bags = [
+        (d, t, collections.Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1 if w else 0))))
+        for d, t in docs
+        for w in [helpers.words(t)]
+    ]
+    parent = list(range(len(bags)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, (_, a, x) in enumerate(sets):
+    for i, (_, a, x) in enumerate(bags):
         for j in range(i):
-            _, b, y = sets[j]
-            if a is not None and b is not None and (a == b or (x and y and len(x & y) >= similarity * len(x | y) - 1e-12)):
+            _, b, y = bags[j]
+            if a is not None and b is not None and (a == b or (x.keys() & y.keys() and alike(x, y) >= similarity - 1e-9)):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     least = collections.defaultdict(list)
-    for i, (d, _, _) in enumerate(sets):
+    for i, (d, _, _) in enumerate(bags):
         if d is not None:
             least[root(i)].append(d)
-    return sorted(((d, min(least[root(i)], default=None)) for i, (d, _, _) in enumerate(sets)), key=repr)
+    return sorted(((d, min(least[root(i)], default=None)) for i, (d, _, _) in enumerate(bags)), key=repr)
 
 
 def edited(text, seed, n):
@@ -125,6 +134,29 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     assert sorted([(r.doc_id, r.class_id) for r in found], key=repr) == brute_classes(docs)
 
 
+def test_repeated_shingles_weigh_by_their_number(spark):
+    line, base = helpers.prose(3, 9), helpers.prose(4, 100)
+    # one set of shingles, other counts; and other sets with the weight on what they share
+    texts = [" ".join([base] + [line] * 2), " ".join([base] + [line] * 40), " ".join([line] * 90 + [helpers.prose(5, 30)])]
+    texts += [" ".join([line] * 90 + [helpers.prose(6, 30)]), " ".join([base] + [line] * 41), " ".join([base] + [line] * 2 + ["end"])]
+    docs = [(f"d{i}", t) for i, t in enumerate(texts)]
+    expected = brute_classes(docs)
+    assert expected != brute_classes(docs, alike=lambda x, y: len(x.keys() & y.keys()) / len(x.keys() | y.keys()))
+    frame = spark.createDataFrame(docs, "doc_id string, text string").repartition(3)
+    assert sorted((r.doc_id, r.class_id) for r in near_dups.report(frame).collect()) == expected
+
+
+def test_recall_at_the_limit():
+    """Pairs of sets of similarity 0.8 share a band."""
+    rng = np.random.default_rng(8)
+    pairs = 2000
+    grams = rng.integers(1, 1 << 62, (pairs, 90)).astype(np.uint64)
+    both = np.concatenate([grams[:, :81], grams[:, 9:]]).ravel()  # 72 of 90: exactly 0.8
+    held = near_dups.sketch(both, np.repeat(np.arange(2 * pairs), 81), np.ones(len(both)), 2 * pairs)
+    bands = (held[:pairs] == held[pairs:]).reshape(pairs, near_dups.BANDS, near_dups.ROWS).all(axis=2)
+    assert bands.any(axis=1).mean() > 0.999
+
+
 def test_near_duplicates_of_empty_table(spark):
     assert near_dups.report(helpers.documents(spark, ["a"]).limit(0)).count() == 0
 
