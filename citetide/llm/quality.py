@@ -102,7 +102,7 @@ def labelled(labels: DataFrame, limit: int = LABELLED) -> DataFrame:
 def fit(documents: DataFrame, sample: DataFrame) -> np.ndarray:
     """Log ratio of target to raw for each bucket, from all documents; ``sample`` is :func:`labelled`."""
     bound_batches(documents.sparkSession)
-    rows = documents.join(F.broadcast(sample), F.col("doc_id") == F.col("_id"), "left").select(
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"), "left").select(
         "text", F.coalesce("_good", F.lit(False)).alias("good")
     )
     counted = rows.mapInArrow(frugal(_count), "bucket long, raw long, target long")
@@ -137,10 +137,11 @@ def gumbel(*row: str, seed: int = SEED) -> Column:
 
 def cut_of(weights: DataFrame, sample: DataFrame) -> float | None:
     """The log weight that parts good from bad labelled documents with the fewest errors, where losing a good
-    document counts four times; the middle of the widest gap among equally good cuts."""
-    known = (
-        weights.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("log_weight", "_good").toPandas().sort_values("log_weight")
-    )
+    document counts four times; the middle of the widest gap among equally good cuts. Rows with one id count once, with
+their smallest weight."""
+    rows = weights.join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    one_each = rows.groupBy("_id").agg(F.min("log_weight").alias("log_weight"), F.first("_good").alias("_good"))
+    known = one_each.toPandas().sort_values("log_weight")
     good = known._good.to_numpy(bool)
     if good.all() or not good.any():
         return None

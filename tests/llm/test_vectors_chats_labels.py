@@ -111,6 +111,22 @@ def test_quality_prefers_the_target(spark):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, r in found.items() if r.kept}
 
 
+def test_quality_of_odd_tables(spark):
+    texts = [helpers.prose(i, 60) for i in range(60)] + [helpers.prose(i, 60, "qrstuvwx") for i in range(60)] + [helpers.prose(0, 60)] * 200
+    ids = list(range(120)) + [0] * 200
+    docs = helpers.documents(spark, texts, ids).withColumn("_id", F.lit(7)).withColumn("_good", F.lit(None).cast("boolean"))
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)] + [(None, 1), (3, 1)], "doc_id long, quality int")
+    weights = spark.createDataFrame([(0, 1.0)] * 500 + [(i, 1.0 if i < 60 else -1.0) for i in range(1, 120)], "doc_id long, log_weight double")
+    assert quality.cut_of(weights, quality.labelled(labels)) == 0.0
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert rows and all(r._id == 7 and r._good is None for r in rows)
+    # rows alike in id and text have one key, so they stay or go together
+    assert sum(r.doc_id == 0 for r in rows) in (0, 201)
+    assert quality.keep_good(docs, labels.limit(0)).count() == len(texts)
+
+
 def test_pipeline_stages(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
