@@ -8,9 +8,9 @@ are judged on the input, overlaps count, and matches stay within a document.
    of the same anchor. Consecutive windows of one anchor make up one segment of the text.
 2. Segments whose anchor occurs once are unique. Equal segments are collapsed to one with a count; with a count of
    two all its windows are repeated.
-   A window reaches half its remaining length or more beyond its anchor on one side. So a segment whose anchor has,
-   with that much text before it and also with that much text behind it, no equal in another segment holds no
-   repeated window and is left out.
+   Wherever a window's anchor stands in it, the window holds one of ``CONTEXTS`` fixed contexts of the anchor, each
+   of which trades text before the anchor for text behind it. Equal windows hold equal contexts, so a segment none of
+   whose contexts has an equal in another segment holds no repeated window and is left out.
 3. The different segments of an anchor are joined to a shard, whole anchors together, and the shard's suffix array
    is made by induced sorting: suffixes are classified, the leftmost-smaller substrings named and sorted, by
    recursion where names repeat, and all other suffixes induced from them in two linear scans. Permuted common
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citetide.session import pin
@@ -41,9 +41,12 @@ from .textblocks import U64, SpanHasher, blocks
 LENGTH, GRAM = 400, 32
 #: Bytes of the different segments of an anchor that one task sorts, and of a shard that holds several anchors.
 GROUP, SHARD = 1 << 21, 1 << 18
+#: Contexts of an anchor, an even number. With eight a context is ``LENGTH`` / 9 or so shorter than a window.
+CONTEXTS = 8
 #: Text bytes that are cut into segments at once; a longer text is worked on alone.
 BLOCK = 1 << 19
 _TEXT = ["t1", "t2"]
+_AROUND = ["behind", "before", *(f"context{j}" for j in range(CONTEXTS))]
 
 
 # ---- suffix arrays -------------------------------------------------------------------------------------------
@@ -184,8 +187,18 @@ def segments_of(data: np.ndarray, offsets: np.ndarray, hasher: SpanHasher, lengt
     return rows, starts[first] - offsets[rows], np.diff(np.append(first, len(starts))), grams[anchor[first]], anchor[first]
 
 
+def contexts(length: int, gram: int) -> list[tuple[int, int]]:
+    """Bytes before and behind the anchor that each context takes: an anchor with at least the former before it in
+    its window, but less than the next context's, has at least the latter behind it."""
+    places = length - gram + 1
+    cuts = [j * places // CONTEXTS for j in range(CONTEXTS + 1)]
+    return [(here, places - after) for here, after in zip(cuts, cuts[1:])]
+
+
 def _segments(length: int, gram: int):
-    reach = (length - gram + 1) // 2
+    reaches = contexts(length, gram)
+    # what the contexts of the first half share, and those of the second
+    reaches = [(0, min(x[1] for x in reaches[: CONTEXTS // 2])), (reaches[CONTEXTS // 2][0], 0), *reaches]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = SpanHasher(1), SpanHasher(2)
@@ -194,10 +207,12 @@ def _segments(length: int, gram: int):
                 rows, first, n, anchor, place = segments_of(data, offsets, one.load(data), length, gram)
                 begin = offsets[rows] + first
                 end = begin + n + length - 1
-                # contexts that reach beyond the segment are in none of its windows
-                before, behind = place - reach, place + gram + reach
-                left = pa.array(one.of(np.maximum(before, begin), place + gram).astype(np.int64), mask=before < begin)
-                right = pa.array(one.of(place, np.minimum(behind, end)).astype(np.int64), mask=behind > end)
+                around = []
+                for before, behind in reaches:
+                    left, right = place - before, place + gram + behind
+                    hashes = one.of(np.maximum(left, begin), np.minimum(right, end)) >> U64(32)
+                    # contexts that reach beyond the segment are in none of its windows
+                    around.append(pa.array(hashes.astype(np.uint32).view(np.int32), mask=(left < begin) | (right > end)))
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -208,10 +223,9 @@ def _segments(length: int, gram: int):
                         part.column("t2").take(take),
                         pa.array(first.astype(np.int32)),
                         pa.array(n.astype(np.int32)),
-                        left,
-                        right,
+                        *around,
                     ],
-                    ["anchor", "s1", "s2", "t1", "t2", "first", "n", "before", "behind"],
+                    ["anchor", "s1", "s2", "t1", "t2", "first", "n", *_AROUND],
                 )
 
     return run
@@ -307,22 +321,37 @@ def _window_digests(length: int):
     return run
 
 
+def _meeting(segments: DataFrame) -> DataFrame:
+    """``anchor``, ``s1`` and ``s2`` of the different segments that have a context in common with another.
+
+    A segment travels twice: with what its first contexts share, and with what the others share. Segments that have
+    one of their contexts in common meet there, where the contexts themselves are counted without moving again."""
+    half = CONTEXTS // 2
+    sides = [
+        F.struct(F.lit(i).alias("side"), F.col(_AROUND[i]).alias("shared"), F.array(*_AROUND[2 + i * half : 2 + (i + 1) * half]).alias("contexts"))
+        for i in (0, 1)
+    ]
+    met = segments.select("anchor", "s1", "s2", F.explode(F.array(*sides)).alias("at")).select("anchor", "s1", "s2", "at.*")
+    met = met.where("shared is not null").repartition("anchor", "side", "shared")
+    met = met.select("anchor", "s1", "s2", "side", "shared", F.posexplode("contexts").alias("number", "context")).where("context is not null")
+    same = Window.partitionBy("anchor", "side", "shared", "number", "context")
+    return met.withColumn("count", F.count("*").over(same)).where("count > 1").select("anchor", "s1", "s2").distinct()
+
+
 def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, shard: int = SHARD) -> DataFrame:
     """``t1``, ``t2`` (hashes of the text), ``first`` and ``n``: runs of windows that occur elsewhere as well."""
     texts = documents.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text").where("text is not null")
-    found = texts.mapInArrow(_segments(length, gram), f"anchor long, s1 long, s2 long, {_RANGES}, before long, behind long")
+    around = ", ".join(f"{c} int" for c in _AROUND)
+    found = texts.mapInArrow(_segments(length, gram), f"anchor long, s1 long, s2 long, {_RANGES}, {around}")
     found = pin(found)
     several = found.groupBy("anchor").agg(F.count("*").alias("count")).where("count > 1").select("anchor")
     shared = pin(found.join(several, "anchor", "left_semi"))
     unique = pin(
-        shared.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("count"), F.min(F.struct("t1", "t2", "first", "n", "before", "behind")).alias("at"))
+        shared.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("count"), F.min(F.struct("t1", "t2", "first", "n", *_AROUND)).alias("at"))
     )
     copied = unique.where("count > 1").select("anchor", "s1", "s2")
     whole = shared.join(copied, ["anchor", "s1", "s2"], "left_semi").select("t1", "t2", "first", "n")
-    contexts = F.posexplode(F.array("at.before", "at.behind")).alias("side", "context")
-    sides = unique.select("anchor", "s1", "s2", contexts).where("context is not null")
-    met = sides.groupBy("anchor", "side", "context").agg(F.count("*").alias("count")).where("count > 1")
-    near = sides.join(met, ["anchor", "side", "context"], "left_semi").select("anchor", "s1", "s2").distinct()
+    near = _meeting(unique.select("anchor", "s1", "s2", "at.*"))
     unique = pin(unique.join(near, ["anchor", "s1", "s2"], "left_semi"))
     groups = unique.groupBy("anchor").agg(F.count("*").alias("different"), F.sum(F.col("at.n") + length - 1).alias("size")).where("different > 1")
     wanted = (
@@ -400,8 +429,10 @@ def remove_repeats(documents: DataFrame, **sizes: int) -> DataFrame:
 
 
 def report(documents: DataFrame, **sizes: int) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of every document."""
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``repeated`` (whether anything was
+    removed) of every document."""
     rows = _joined(documents.select("doc_id", "text"), **sizes)
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.mapInArrow(_strip(sizes.get("length", LENGTH), True, "kept_sha256"), schema).drop("text")
+    found = rows.mapInArrow(_strip(sizes.get("length", LENGTH), True, "kept_sha256"), schema).drop("text")
+    return found.withColumn("repeated", F.col("n_removed") > 0)

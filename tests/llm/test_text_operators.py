@@ -219,6 +219,28 @@ def test_repeats(spark, sizes):
     assert got == brute_removed(docs, sizes.get("length", 400))
 
 
+@pytest.mark.parametrize("length, gram", [(400, 32), (40, 8), (12, 8), (9, 8), (8, 8)])
+def test_every_window_holds_a_context(length, gram):
+    for place in range(length - gram + 1):
+        assert any(before <= place and gram + behind <= length - place for before, behind in suffixes.contexts(length, gram))
+
+
+def test_segments_meet_by_one_context(spark):
+    contexts = [f"context{j}" for j in range(suffixes.CONTEXTS)]
+    none = [None] * suffixes.CONTEXTS
+    rows = [
+        (1, 1, 0, 7, None, *[10, 11, 12, 13], *none[4:]),
+        (1, 2, 0, 7, None, *[20, 11, 22, 23], *none[4:]),  # as the first in one context
+        (1, 3, 0, 7, None, *[11, 30, 32, 33], *none[4:]),  # the same number, of another context
+        (2, 4, 0, 7, None, *[10, 11, 12, 13], *none[4:]),  # another anchor
+        (3, 5, 0, None, 8, *none[:4], *[1, 2, 3, None]),
+        (3, 6, 0, None, 8, *none[:4], *[4, 5, 6, None]),
+        (3, 7, 0, None, None, *none),
+    ]
+    schema = "anchor long, s1 long, s2 long, behind int, before int, " + ", ".join(f"{c} int" for c in contexts)
+    assert sorted(r.s1 for r in suffixes._meeting(spark.createDataFrame(rows, schema)).collect()) == [1, 2]
+
+
 def test_kept_bytes(spark):
     frame = helpers.documents(spark, ["x" * 30 + "abcdefgh" * 6, "y" * 5 + "abcdefgh" * 6, None, ""])
     kept = {r.doc_id: r.kept for r in suffixes.remove_repeats(frame, length=40, gram=8).collect()}
