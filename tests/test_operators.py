@@ -318,3 +318,17 @@ def test_survivors(spark, values):
 def test_category_index(spark, values):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("c",)], "t string")
     assert values(counting.index_categories(df, "t")) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_joins_are_dealt_by_their_rows(spark, large, values):
+    """A known number of rows sets the tasks of a join, with and without hot keys; the rows stay the same."""
+    large.setattr(skew, "TASK_ROWS", 10)
+    left = spark.range(2000).select((F.col("id") % 300).alias("k"), F.col("id").alias("v"))
+    right = spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    expected = values(left.join(right, "k"))
+    two = [row.key for row in left.filter("v < 2").select(F.xxhash64("k").alias("key")).collect()]
+    for more in ({"unique": True}, {"hot": two}, {"hot": []}, {"both": True}):
+        joined = skew.skew_join(left, right, "k", rows=2000, **more)
+        assert final_plan(joined).count("200), REPARTITION_BY_NUM") == 2
+        assert values(joined) == expected
+    assert "REPARTITION_BY_NUM" not in final_plan(skew.deal(left, 80, "k"))

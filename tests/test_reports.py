@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.queries import REGISTRY
 from citetide import sinks, streaming
+from citetide.operators import skew
 from citetide.plans import citations, disease, increments, ranking, transcripts
 
 
@@ -191,3 +193,16 @@ def test_months_of_diseases(spark, values, request, keys):
                 expected[named, month] = genes + 1, count + n
     found = disease.disease_by_month(disease.gene_by_month(pairs, dates), links)
     assert values(found) == sorted(((*k, *v) for k, v in expected.items()), key=repr)
+
+
+@pytest.mark.parametrize("name, dealt", [("gene_by_year_fanout", 2)])
+def test_reports_are_dealt_by_the_rows_of_their_tables(spark, large, values, name, dealt):
+    """Narrow rows would else be merged by their bytes into tasks of millions."""
+    folder = "/root/testdata/sf0.001"
+    expected = REGISTRY[name](spark, folder)
+    assert "REPARTITION_BY_NUM" not in expected._jdf.queryExecution().executedPlan().toString()
+    expected = values(expected)
+    large.setattr(skew, "TASK_ROWS", 100)
+    found = REGISTRY[name](spark, folder)
+    assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= dealt
+    assert values(found) == expected
