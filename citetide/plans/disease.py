@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citetide.operators.skew import KeyStatistics, skew_join
+from citetide.operators.skew import deal, hot_keys, skew_join, spread
 from citetide.sinks import register
 
 
@@ -36,25 +36,31 @@ def associated_genes(
     return register(session.sql(statement, {"type": association_type, "view": view}), results)
 
 
-def gene_by_month(gene2pubmed: DataFrame, dates: DataFrame) -> DataFrame:
+def gene_by_month(gene2pubmed: DataFrame, dates: DataFrame, size: int | None = None) -> DataFrame:
     """``gene_id, month, citations``: citation rows per gene and month (its first day). A paper counts in the month of
-    its latest day; papers without a day do not count."""
+    its latest day; papers without a day do not count. ``size`` is the number of rows of the larger table, by which the
+    join is dealt, if it is known."""
     months = dates.filter(F.col("pub_date").isNotNull()).groupBy("pmid").agg(F.max("pub_date").alias("pub_date"))
     months = months.select("pmid", F.trunc("pub_date", "month").alias("month"))
-    dated = skew_join(gene2pubmed.select("gene_id", "pmid"), months, "pmid", unique=True)
+    dated = skew_join(gene2pubmed.select("gene_id", "pmid"), months, "pmid", unique=True, rows=size)
     return dated.groupBy("gene_id", "month").agg(F.count("*").alias("citations"))
 
 
-def disease_by_month(gene_months: DataFrame, associations: DataFrame) -> DataFrame:
+def disease_by_month(gene_months: DataFrame, associations: DataFrame, size: int | None = None) -> DataFrame:
     """``disease_id, month, genes, citations``: the monthly counts of a disease's genes added up.
 
     Genes meet their diseases after counting, so a gene with many diseases repeats its counts and not its citations; a
-    gene is one of a disease's however many associations name it. Sort the result by month for a report.
+    gene is one of a disease's however many associations name it. A gene's months (a year has twelve) travel as one row,
+    and are unfolded where a disease's genes are together: unfolded beside the genes, nearly every task would hold
+    counts of all diseases and months. ``size`` is the number of association rows or more, by which the diseases are
+    dealt, if it is known. Sort the result by month for a report.
     """
     pairs = associations.select(F.col("geneId").alias("gene_id"), F.col("diseaseId").alias("disease_id"))
-    known = KeyStatistics({"pairs": (pairs, ["gene_id"]), "months": (gene_months, ["gene_id"])})
-    joined = skew_join(
-        pairs.distinct(), gene_months, "gene_id", both=True, probe=known["pairs"], probe_right=known["months"]
-    )
-    totals = joined.groupBy("disease_id", "month")
+    listed = F.array_sort(F.collect_list(F.struct("month", "citations"))).alias("months")
+    genes = gene_months.groupBy("gene_id").agg(listed).select("gene_id", "months.month", "months.citations")
+    joined = skew_join(pairs.distinct(), genes, "gene_id", unique=True, rows=size)
+    hot = hot_keys(pairs, ["disease_id"]) if size is not None else []
+    dealt = deal(spread(joined, ["disease_id"], hot, "_salt", ["gene_id"]), size, "disease_id", "_salt")
+    counts = dealt.select("disease_id", F.inline(F.arrays_zip("month", "citations")))
+    totals = counts.groupBy("disease_id", "month")
     return totals.agg(F.count("*").alias("genes"), F.sum("citations").alias("citations"))
