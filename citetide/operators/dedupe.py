@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from citetide.functions.scalars import MISSING, strip_version
 from citetide.operators.counting import first_by
+from citetide.operators.skew import deal
 
 
 def one_year_per_pub(dates: DataFrame) -> DataFrame:
@@ -25,10 +26,10 @@ def years_per_pub(dates: DataFrame) -> DataFrame:
     return dates.groupBy("pmid", "year").agg(F.count("*").alias("n"))
 
 
-def gene_refseq_pairs(gene2refseq: DataFrame) -> DataFrame:
-    """Distinct ``gene_id, refseq_id`` pairs that have an accession."""
+def gene_refseq_pairs(gene2refseq: DataFrame, size: int | None = None) -> DataFrame:
+    """Distinct ``gene_id, refseq_id`` pairs that have an accession, dealt by the number of rows ``size`` if it is known."""
     pairs = gene2refseq.select("gene_id", strip_version(F.col("accession")).alias("refseq_id"))
-    return pairs.filter(F.col("refseq_id") != MISSING).distinct()
+    return deal(pairs.filter(F.col("refseq_id") != MISSING), size, "gene_id", "refseq_id").distinct()
 
 
 def gene_of_refseq(gene2refseq: DataFrame) -> DataFrame:

@@ -64,18 +64,21 @@ def gene_annotations(
     gene2refseq: DataFrame,
     refgene: DataFrame,
     statistics: KeyStatistics | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """The 14 columns of ``COLUMNS``, one row per locus of each transcript of a cited gene.
 
     Attributes and the count are put on the gene's transcripts first, then on the loci, so the widest
     table is shuffled once. Pass ``statistics`` (:func:`annotation_statistics`) to share the sketches with other
-    reports over the same tables.
+    reports over the same tables. ``size`` is the number of rows of ``gene2refseq`` or more, by which the joins are dealt, if
+    it is known.
     """
     known = annotation_statistics(gene_info, gene2refseq, refgene) if statistics is None else statistics
     named = skew_join(
-        gene_refseq_pairs(gene2refseq),
+        gene_refseq_pairs(gene2refseq, size),
         cited_genes(gene_info, gene2pubmed),
         "gene_id",
+        rows=size,
         by=["refseq_id"],
         both=True,
         bound=gene_info,
@@ -84,7 +87,13 @@ def gene_annotations(
     )
     loci = refgene.withColumnRenamed("name", "refseq_id")
     joined = skew_join(
-        loci, named, "refseq_id", both=True, probe=known["refgene.name"], probe_right=known["gene2refseq.accession"]
+        loci,
+        named,
+        "refseq_id",
+        both=True,
+        probe=known["refgene.name"],
+        probe_right=known["gene2refseq.accession"],
+        rows=size,
     )
     return joined.select(*COLUMNS)
 
