@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citetide.session import pin
+from citetide.session import pin, unpin
 
 from .rows import fresh
 
@@ -31,7 +31,8 @@ MIN_DOCS, LEADING = 10, 3
 #: Characters from which on a line recurs in two documents.
 LONG = 40
 WILD = "<*>"
-_VARIABLE = r"[^ ]*[0-9][^ ]*"
+#: A token with a digit, looked for at the beginning of a token only and without going back.
+_VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
 def lines_of(text: Column | str) -> Column:
@@ -50,12 +51,16 @@ def leaf_of(line: str) -> Column:
     return F.concat_ws(" ", blanks.cast("string"), leading)
 
 
-def repeated_lines(lines: DataFrame, long: int = LONG) -> DataFrame:
-    """``text_key`` and ``line_key`` of long lines that also stand in a text with a smaller key; ``lines`` has
-    ``text_key`` and ``line``."""
-    keys = lines.where(F.length("line") >= long).select(
-        "text_key", F.xxhash64("line").alias("line_key"), F.xxhash64(F.lit(1), "line").alias("other_key")
-    )
+def marks_of(lines: DataFrame, long: int = LONG) -> DataFrame:
+    """``text_key``, ``leaf`` and, of long lines, two hashes ``line_key`` and ``other_key``; ``lines`` has ``text_key``,
+    ``line`` and ``leaf``."""
+    of_long = {name: F.when(F.length("line") >= long, key) for name, key in (("line_key", F.xxhash64("line")), ("other_key", F.xxhash64(F.lit(1), "line")))}
+    return lines.select("text_key", "leaf", *(key.alias(name) for name, key in of_long.items()))
+
+
+def repeated_lines(marks: DataFrame) -> DataFrame:
+    """``text_key`` and ``line_key`` of long lines that also stand in a text with a smaller key."""
+    keys = marks.where("line_key is not null").drop("leaf")
     # the smallest and largest key tell a line of one text from a line of several, without a list of its texts
     seen = keys.groupBy("line_key", "other_key").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last"))
     several = pin(seen.where("first < last").select("line_key", "other_key", "first"))
@@ -66,8 +71,12 @@ def recurring_lines(documents: DataFrame, min_docs: int = MIN_DOCS, long: int =
     """``text_key`` and ``line_key``: the lines that each text loses."""
     texts = documents.select(key_of("text").alias("text_key"), F.explode(lines_of("text")).alias("line")).where("trim(line) != ''")
     lines = texts.withColumn("leaf", F.xxhash64(leaf_of("line")))
-    reached = lines.groupBy("leaf", "text_key").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("n"))
+    # the texts are split for the marks and for the candidates only; the marks go before the candidates are written
+    marks = pin(marks_of(lines, long))
+    repeated = pin(repeated_lines(marks))
+    reached = marks.groupBy("leaf", "text_key").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("n"))
     leaves = pin(reached.where(F.col("n") >= min_docs).select("leaf"))
+    unpin(marks)
     candidates = pin(lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "line", "text_key").agg(F.lit(1).alias("one")).drop("one"))
     distinct = pin(candidates.groupBy("leaf", "line").agg(F.count("*").alias("n")))
     fields = distinct.select(
@@ -92,7 +101,7 @@ def recurring_lines(documents: DataFrame, min_docs: int = MIN_DOCS, long: int =
     dropped = templates.join(recurring, "template", "left_semi").select("leaf", "line")
     alone = distinct.where(F.col("n") >= min_docs).select("leaf", "line")
     gone = candidates.join(dropped.unionByName(alone), ["leaf", "line"], "left_semi").select("text_key", F.xxhash64("line").alias("line_key"))
-    return gone.unionByName(repeated_lines(texts, long))
+    return gone.unionByName(repeated)
 
 
 def drop_templates(documents: DataFrame, min_docs: int = MIN_DOCS, long: int = LONG) -> DataFrame:

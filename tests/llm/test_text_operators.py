@@ -316,6 +316,23 @@ def test_lines_recur_with_production_values(spark):
     assert sorted(x[0] for x in found) == sorted(t.split("\n")[0] for t in texts)
 
 
+def test_texts_are_split_twice_for_their_lines(spark):
+    """Once for the marks of all lines and once for the candidates; nothing is left to split when the lines are read."""
+    texts = [f"a line of its own, number {n}\nthe same long line that stands in each of the texts\nend" for n in range(30)]
+    lost = templates.recurring_lines(helpers.documents(spark, texts))
+    plan = lost._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "split(" not in plan
+    # every line recurs: two as they are, one by its template
+    assert lost.distinct().count() == 90
+
+
+def test_tokens_with_a_digit_are_masked(spark):
+    lines = ["a1b 22 c", "1 a", "abc def ghi", "x9 y z9", " 7 ", "a  b5  c", "\u00e97\tq r", "-3- no"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    found = [r[0] for r in rows.select(templates.F.regexp_replace("line", templates._VARIABLE, templates.WILD)).collect()]
+    assert found == [" ".join(templates.WILD if any(c in "0123456789" for c in t) else t for t in x.split(" ")) for x in lines]
+
+
 # ---- pieces
 
 

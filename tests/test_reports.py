@@ -195,7 +195,7 @@ def test_months_of_diseases(spark, values, request, keys):
     assert values(found) == sorted(((*k, *v) for k, v in expected.items()), key=repr)
 
 
-@pytest.mark.parametrize("name, dealt", [("gene_by_year_fanout", 2), ("disease_by_month", 4)])
+@pytest.mark.parametrize("name, dealt", [("gene_by_year_fanout", 2), ("disease_by_month", 4), ("annotation_exon_unions", 4)])
 def test_reports_are_dealt_by_the_rows_of_their_tables(spark, large, values, name, dealt):
     """Narrow rows would else be merged by their bytes into tasks of millions."""
     folder = "/root/testdata/sf0.001"
