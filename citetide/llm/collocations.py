@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +81,14 @@ class HatTrie:
             begins = np.concatenate([[0], np.flatnonzero(np.diff(lead)) + 1])
             bounds, keys = [*begins.tolist(), len(lead)], lead[begins].tolist()
             rests, numbers = rest.tolist(), counts.tolist()
-            for i, key in enumerate(keys):
-                self._fill(node, key, rests[bounds[i] : bounds[i + 1]], numbers[bounds[i] : bounds[i + 1]], left)
+            for key, begin, end in zip(keys, bounds, bounds[1:]):
+                if key in node:
+                    self._fill(node, key, rests[begin:end], numbers[begin:end], left)
+                elif end - begin == 1:
+                    node[key] = {rests[begin]: numbers[begin]}
+                    self.size += 1
+                else:
+                    self._fill(node, key, rests[begin:end], numbers[begin:end], left)
 
     def _fill(self, parent: Inner, key: int, rests: list[int], numbers: list[int], left: int) -> None:
         node = parent.get(key)
@@ -123,24 +130,29 @@ class HatTrie:
         """Take out whole subtrees, the largest first, until at most ``keep`` phrases are left: first word, packed
         others and count of each phrase."""
         if keep:
-            sizes = {key: sum(len(c) for _, c in self._walk(node, 0, self.others)) for key, node in self.root.items()}
+            sizes = {
+                key: len(node) if type(node) is dict else sum(len(c) for _, c in self._walk(node, 0, self.others))
+                for key, node in self.root.items()
+            }
             order = sorted(sizes, key=sizes.get, reverse=True)
         else:
             order = list(self.root)
-        firsts, sizes, heads, rest, counts = [], [], [], [], []
+        firsts, heads, containers = [], [], []
         for key in order:
             if self.size <= keep:
                 break
             node = self.root.pop(key)
             for head, container in [(0, node)] if type(node) is dict else self._walk(node, 0, self.others):
                 firsts.append(key)
-                sizes.append(len(container))
                 heads.append(head)
-                rest.extend(container)
-                counts.extend(container.values())
+                containers.append(container)
                 self.size -= len(container)
+        sizes = np.fromiter(map(len, containers), np.int64, len(containers))
         first, head = (np.repeat(np.array(x, np.int64), sizes) for x in (firsts, heads))
-        return first, np.array(rest, np.int64) | head, np.array(counts, np.int64)
+        total = int(sizes.sum())
+        rest = np.fromiter(chain.from_iterable(containers), np.int64, total)
+        counts = np.fromiter(chain.from_iterable(map(dict.values, containers)), np.int64, total)
+        return first, rest | head, counts
 
 
 class Words:
@@ -223,9 +235,14 @@ def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         key = columns[0]
         for c, size in zip(columns[1:], span[1:]):
             key = key * size + c
-        order = np.argsort(key, kind="stable")
-    else:
-        order = np.lexsort(columns[::-1])
+        key = np.sort(key)
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        found, rows = key[first], []
+        for size in reversed(span[1:]):
+            found, row = np.divmod(found, size)
+            rows.append(row)
+        return [found, *reversed(rows)], np.diff(np.append(first, len(key)))
+    order = np.lexsort(columns[::-1])
     held = [c[order] for c in columns]
     new = np.ones(len(order), bool)
     if len(order):

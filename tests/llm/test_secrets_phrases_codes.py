@@ -251,3 +251,22 @@ def test_query_equals_sql(spark, name):
     found = REGISTRY[name](spark, "/root/testdata/sf0.001")
     assert compare.spark_types(found) == compare.duckdb_types(oracle, STATEMENTS[name])
     assert compare.spark_rows(found) == compare.duckdb_rows(oracle, STATEMENTS[name])
+
+
+def test_different_rows_and_spilled_subtrees():
+    """Packed and wide rows are told apart alike; what is spilled and what stays add up, as arrays."""
+    rng = np.random.default_rng(3)
+    for size, most in ((2, 9), (3, 7), (4, 1 << 20)):
+        columns = [rng.integers(0, most, 3000) for _ in range(size)]
+        expected, counts = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
+        found, n = collocations.distinct(columns)
+        assert (np.stack(found, 1) == expected).all() and (n == counts).all()
+        trie, rest = collocations.HatTrie(size - 1, 20), np.zeros(len(n), np.int64)
+        for c in found[1:]:
+            rest = rest << collocations.ID_BITS | c
+        trie.add(found[0], rest, n)
+        trie.add(found[0], rest, n)
+        parts = [trie.spill(len(n) // 2), trie.spill(0)]
+        assert len(parts[0][0]) >= len(n) // 2 and trie.size == 0
+        rows = sorted(row for part in parts for row in zip(*(x.tolist() for x in part)))
+        assert rows == sorted(zip(found[0].tolist(), rest.tolist(), (2 * n).tolist()))
