@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from citetide.session import pin
 
 from .rows import fresh, with_fields
-from .textblocks import U64, SpanHasher, blocks, fold_table, frugal, spans, word_table
+from .textblocks import U64, SpanHasher, blocks, bound_batches, fold_table, frugal, spans, word_table
 
 WINDOW = 13
 BLOCK = 8
@@ -38,6 +38,8 @@ PART_BYTES, GROUPS = 16 << 20, (0, BLOCK, 32)
 TABLE_BITS = 20
 #: Bytes of text that one moving window is in charge of.
 STRETCH = 1024
+#: Pairs of a place and a pattern that are compared at once; a place's pairs stay together.
+PAIRS = 1 << 17
 
 
 def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,6 +134,17 @@ class Group:
         slot[slot == len(self.keys)] = 0
         known = self.keys[slot] == keys
         at, slot = at[known], slot[known]
+        total = np.cumsum(self.first[slot + 1] - self.first[slot])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, side="right")))
+            found.append(self.compare(text, size, sums, at[a:b], slot[a:b]))
+            a = b
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def compare(self, text: np.ndarray, size: int, sums: SpanHasher, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and pattern of the occurrences at the places ``at``, whose patterns are in the buckets ``slot``."""
         count = self.first[slot + 1] - self.first[slot]
         place = np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
         at, which = np.repeat(at, count), self.order[place]
@@ -213,6 +226,7 @@ def _searcher(found: list[tuple[bytes, int, list[str]]], ranges: str, items: str
 def find_items(documents: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """The documents with ``n_words``, ``n_hit``, ``hit_ranges`` (first word, word after the last, and so on),
     ``items`` (sorted) and ``contaminated``; names that clash get underscores in front."""
+    bound_batches(documents.sparkSession)
     found = pin(patterns(benchmark))
     size = found.agg(F.sum(F.length("pattern") + 16)).first()[0] or 0
     parts = max(1, math.ceil(size / part_bytes))

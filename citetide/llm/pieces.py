@@ -36,7 +36,7 @@ SEED, ALPHA = 2, 2.0
 #: Bytes of lattices that a task keeps before it starts afresh; this bounds memory, not results.
 KEPT_BYTES = 64 << 20
 #: Text bytes encoded at once.
-PART_BYTES = 1 << 19
+PART_BYTES = 1 << 17
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 
 

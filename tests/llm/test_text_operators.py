@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
 import helpers
 import numpy as np
@@ -60,6 +61,29 @@ def test_decontamination(spark, part_bytes):
     assert kept.count() == sum(not r[-1] for r in brute_decontamination(docs, items))
 
 
+def test_candidates_are_compared_in_bounded_numbers(monkeypatch):
+    # a hundred patterns begin alike and so share a bucket, and the text holds nothing but this beginning and one of them
+    begin, size = b" the same old beginning of a question", 4000
+    found = [begin + b" %03d " % i for i in range(100)]
+    hasher = SpanHasher()
+    text = np.frombuffer((begin + b" ") * size + found[7], np.uint8)
+    padded = np.concatenate([text, np.zeros(decontaminate.BLOCK + 1, np.uint8)])
+    group = decontaminate.Group([begin + b" "] + found, np.arange(101), hasher)
+    hasher.load(text)
+    at, which = group.search(padded, len(text), hasher)
+    begins = [i * (len(begin) + 1) for i in range(size)] + [len(text) - len(found[7])]
+    want = sorted([(x, 0) for x in begins] + [(begins[-1], 8)])
+    assert sorted(zip(at.tolist(), which.tolist())) == want
+    monkeypatch.setattr(decontaminate, "PAIRS", 1 << 10)
+    tracemalloc.start()
+    again = group.search(padded, len(text), hasher)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(*(x.tolist() for x in again))) == want
+    # all pairs at once take more than 400,000 numbers for each of several arrays
+    assert peak < 3 << 20
+
+
 def test_decontamination_of_empty_tables(spark):
     frame, none = helpers.documents(spark, ["a b"]), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(frame, none).first()["contaminated"] is False
