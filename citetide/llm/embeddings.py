@@ -5,13 +5,17 @@ hold null or non-finite components link with nothing; nor do vectors of differen
 vectors of their own. A null ``vec_id`` is a vector, but never names a component that has another id.
 
 1. Centres are fitted on a sample of at most ``SAMPLE`` vectors; every vector is assigned to its nearest centre.
-   There is a cell for about ``BLOCK`` vectors, and a cell with more is dealt out over several blocks by a hash.
-2. Two vectors from different cells are compared unless the geometry rules a link out: the distances of both to the
-   plane between their centres add up to no more than the distance of linked vectors, and the angle of either to
-   the other's centre must be within reach of the other cell's ring. So no link is lost between cells. Tight groups
-   are compared with their own cell and few others; vectors without any structure have to be compared with all.
-3. A pair of blocks is one unit of work of bounded size: products of ``TILE`` rows at a time give each row's number
-   of links and a spanning forest of the links, never the links themselves. Forests are joined by stars.
+   There is a cell for about an eighth of ``BLOCK`` vectors, up to ``CELLS`` of them. Neighbouring cells are shuffled
+   together once, and written as blocks of at most ``BLOCK`` vectors; a cell with more is dealt out by a hash.
+2. Pairs of blocks meet by a Cartesian product that reads the written table again for each of its parts, so a vector
+   is stored once however many others it has to be compared with. Block pairs without cells in reach are left out.
+3. Two vectors are compared unless the geometry rules a link out: for any two centres, linked vectors cannot differ by
+   more than their distance along the line between them, and the angle of either to the other's centre must be within
+   reach of the other cell's ring. So no link is lost between cells. Tight groups are compared with their own cell
+   and few others; vectors without any structure have to be compared with a good part of all.
+4. Products are made in single precision and, within its rounding error of the limit, decided in double. A task adds
+   up each row's number of links and keeps a spanning forest of the links, never the links themselves. Forests are
+   joined by stars.
 """
 
 from __future__ import annotations
@@ -23,240 +27,379 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from citetide.session import pin
+from citetide.session import pin, unpin
 
 from .components import components
+from .textblocks import bound_batches, frugal, mix
 
 COSINE = 0.95
-#: Vectors of a block, rows of one product, vectors that fit the centres, rounds of fitting.
-BLOCK, TILE, SAMPLE, ROUNDS = 8192, 1024, 16_384, 8
+#: Vectors of a block, rows of one product, vectors and bytes that fit the centres, rounds of fitting.
+BLOCK, TILE, SAMPLE, SAMPLE_BYTES, ROUNDS = 8192, 256, 16_384, 64 << 20, 8
+#: Most cells, and cells that are dealt together.
+CELLS, GROUP = 2048, 8
+#: Bytes of blocks that a task of the product holds, tasks for each core, bytes of prepared blocks in a Python worker.
+PART_BYTES, TASKS, HELD_BYTES = 32 << 20, 8, 48 << 20
+#: Values gathered at once where links are decided in double.
+GATHER = 1 << 21
+
+
+def usable_rows(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row ends (one more than rows), all values (singles as they are, doubles scaled to length 1) and which rows are
+    usable vectors."""
+    ends = column.offsets.to_numpy()
+    flat = column.values.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+    some = np.concatenate([[0], np.cumsum(flat != 0)])
+    usable = column.is_valid().to_numpy(zero_copy_only=False) & (bad[ends[1:]] == bad[ends[:-1]]) & (some[ends[1:]] > some[ends[:-1]])
+    if kind == "f8":
+        flat = flat.copy()
+        for i in np.flatnonzero(usable).tolist():
+            x = flat[ends[i] : ends[i + 1]]
+            x /= np.abs(x).max()  # so that squares neither vanish nor overflow
+            x /= math.sqrt(x @ x)
+    return ends, flat, usable
+
+
+def _packed(kind: str):
+    """Rows with the length of their vector and its values as bytes; both null if it is not usable."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, flat, usable = usable_rows(batch.column("embedding"), kind)
+            with np.errstate(over="ignore", invalid="ignore"):
+                data = flat[ends[0] : ends[-1]].astype(kind)
+            mask = pa.array(usable).buffers()[1]
+            offsets = ((ends - ends[0]) * data.itemsize).astype(np.int32)
+            vectors = pa.Array.from_buffers(pa.binary(), len(usable), [mask, pa.py_buffer(offsets), pa.py_buffer(data)])
+            sizes = pa.array(np.diff(ends).astype(np.int32), mask=~usable)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), sizes, vectors], ["row", "vec_id", "size", "vector"])
 
+    return packed
 
-def unit_rows(column: pa.Array) -> tuple[list[int], list[np.ndarray]]:
-    """Indexes and values (double, scaled to length 1) of the usable vectors."""
-    ends = column.offsets.to_numpy()
-    values = column.values
-    flat = values.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
-    valid = column.is_valid().to_numpy(zero_copy_only=False)
-    at, rows = [], []
-    for i in np.flatnonzero(valid & (np.diff(ends) > 0)).tolist():
-        x = flat[ends[i] : ends[i + 1]]
-        top = np.abs(x).max()
-        if np.isfinite(top) and top > 0:
-            x = x / top  # so that squares neither vanish nor overflow
-            at.append(i)
-            rows.append(x / math.sqrt(x @ x))
-    return at, rows
-
-
-def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, rows = unit_rows(batch.column("embedding"))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row").take(pa.array(at, pa.int64())), pa.array([len(x) for x in rows], pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())],
-            ["row", "size", "unit"],
-        )
+
+def unit_rows(held: list[bytes] | pa.Buffer, rows: int, kind: str) -> np.ndarray:
+    """Packed vectors of one length as rows of doubles of length 1."""
+    x = np.frombuffer(b"".join(held) if isinstance(held, list) else held, kind).reshape(rows, -1).astype(np.float64)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
 
 
 def fit_centres(sample: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Spherical k-means: centres of length 1, started from rows spread over the sample."""
+    """Spherical k-means: centres of length 1, started from rows spread over the sample; neighbours follow each other."""
     centres = sample[np.linspace(0, len(sample) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        near = (sample @ centres.T).argmax(axis=1)
-        for c in range(k):
-            total = sample[near == c].sum(axis=0)
-            length = np.linalg.norm(total)
-            if length > 0:
-                centres[c] = total / length
-    return centres
+        total = np.zeros_like(centres)
+        np.add.at(total, (sample @ centres.T).argmax(axis=1), sample)
+        length = np.sqrt(np.einsum("ij,ij->i", total, total))
+        centres[length > 0] = total[length > 0] / length[length > 0, None]
+    near, order = centres @ centres.T, [0]
+    left = np.ones(k, bool)
+    for _ in range(k - 1):
+        left[order[-1]] = False
+        order.append(int(np.where(left, near[order[-1]], -np.inf).argmax()))
+    return centres[order]
 
 
 class Geometry:
-    """What each cell's members allow: distances to the planes towards other centres, and their ring."""
-
-    def __init__(self, centres: np.ndarray, planes: np.ndarray, low: np.ndarray, high: np.ndarray, cosine: float):
-        self.centres, self.planes, self.low, self.high = centres, planes, low, high
-        # a little wider than the exact bounds, for rounding
-        self.chord, self.angle = math.sqrt(2 - 2 * cosine) + 1e-9, math.acos(cosine) + 1e-9
-        gap = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(-1), 1e-30))
-        self.gap = gap
-
-    @staticmethod
-    def distances(dots: np.ndarray, own: np.ndarray, gap: np.ndarray) -> np.ndarray:
-        """Distance of each row from the plane between its own centre and each other."""
-        return (dots[np.arange(len(dots)), own][:, None] - dots) / gap[own]
-
-    def reach(self, dots: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Whether a row may link to a member of a cell, for each cell."""
-        plane = self.distances(dots, own, self.gap) + self.planes[:, own].T <= self.chord
-        angle = np.arccos(np.clip(dots, -1, 1))
-        ring = (angle <= self.high + self.angle) & (angle >= self.low - self.angle)
-        out = plane & ring
-        out[np.arange(len(own)), own] = True
-        return out
-
-
-def _cells(centres: np.ndarray):
-    """Assign rows; and the smallest plane distances and the ring of each cell in a partition."""
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                units = np.frombuffer(b"".join(batch.column("unit").to_pylist())).reshape(batch.num_rows, -1)
-                cell = (units @ centres.T).argmax(axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
+    """What rules a link out between rows of two cells, from products in single precision."""
+
+    def __init__(self, centres: np.ndarray, cosine: float):
+        self.centres, self.cosine = centres.astype(np.float32), cosine
+        width = centres.shape[1]
+        #: More than a product of two vectors, and more than a sum of four such products, can be off by.
+        self.margin, self.slack = (width + 8) * 2.0**-23, 8 * (width + 8) * 2.0**-23
+        exact = self.centres.astype(np.float64)
+        length = np.einsum("ij,ij->i", exact, exact)
+        self.gap = np.sqrt(np.maximum(length[:, None] + length[None] - 2 * (exact @ exact.T), 0)) + 1e-7
+        self.chord, self.angle = math.sqrt(max(2 - 2 * cosine, 0)) + 1e-9, math.acos(max(-1.0, min(1.0, cosine))) + 1e-9
 
-    return assign
+    def assign(self, units: np.ndarray) -> np.ndarray:
+        return (units @ self.centres.T).argmax(axis=1).astype(np.int32)
 
+    def limit(self, a, b):
+        """What the two rows' shifts (product with the own centre less that with the other's) add up to at most."""
+        return self.chord * self.gap[a, b] + self.slack
 
-def _extent(centres: np.ndarray):
-    gap = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(-1), 1e-30))
+    def ring(self, low: np.ndarray) -> np.ndarray:
+        """Least product with a cell's centre of rows that link to its members, whose least product is ``low``."""
+        widest = np.arccos(np.clip(low - self.slack, -1, 1)) + self.angle
+        return np.where(widest >= math.pi, -np.inf, np.cos(np.minimum(widest, math.pi)) - self.slack)
 
-    def extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(centres)
-        planes, low, high, n = np.full((k, k), np.inf), np.full(k, np.inf), np.full(k, -np.inf), np.zeros(k, np.int64)
+
+def _dealt(geometry: Geometry, deals: np.ndarray, kind: str):
+    """The cell of each row, and the deal that it is shuffled by."""
+    first = np.concatenate([[0], np.cumsum(deals)])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                units = np.frombuffer(b"".join(batch.column("unit").to_pylist())).reshape(batch.num_rows, -1)
-                dots, own = units @ centres.T, batch.column("cell").to_numpy()
-                np.minimum.at(planes, own, Geometry.distances(dots, own, gap))
-                angle = np.arccos(np.clip(dots[np.arange(len(own)), own], -1, 1))
-                np.minimum.at(low, own, angle)
-                np.maximum.at(high, own, angle)
-                n += np.bincount(own, minlength=k)
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array(n[used]), pa.array(low[used]), pa.array(high[used]), pa.array(list(planes[used]), pa.list_(pa.float64()))],
-            ["cell", "n", "low", "high", "planes"],
+                cell = geometry.assign(unit_rows(batch.column("vector").to_pylist(), batch.num_rows, kind).astype(np.float32))
+                group = cell // GROUP
+                spot = mix(batch.column("row").to_numpy().astype(np.uint64)) % deals[group].astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vector"), pa.array(cell), pa.array(first[group] + spot.astype(np.int64))], ["row", "vector", "cell", "deal"])
+
+    return dealt
+
+
+def _blocks(geometry: Geometry, block: int, kind: str):
+    """Rows sorted by deal and cell, cut into blocks of rows sorted by cell. ``least`` holds, for each cell of the block
+    and each other cell, the least shift of a row towards it."""
+
+    def made(deal: list[tuple]) -> pa.RecordBatch:
+        deal.sort(key=lambda x: x[0])
+        units = unit_rows([x[2] for x in deal], len(deal), kind).astype(np.float32)
+        own = np.array([x[0] for x in deal], np.int32)
+        cells, starts = np.unique(own, return_index=True)
+        least = np.empty((len(cells), len(geometry.centres)), np.float32)
+        for i, (start, end) in enumerate(zip(starts, [*starts[1:], len(own)])):
+            dots = units[start:end] @ geometry.centres.T
+            least[i] = (dots[:, cells[i]][:, None] - dots).min(axis=0)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([deal[0][1]], pa.int64()),
+                pa.array([cells.tolist()], pa.list_(pa.int32())),
+                pa.array([[x.tobytes() for x in least]], pa.list_(pa.binary())),
+                pa.array([np.array([x[1] for x in deal], np.int64).tobytes()]),
+                pa.array([own.tobytes()]),
+                pa.array([b"".join(x[2] for x in deal)]),
+            ],
+            ["block", "cells", "least", "rows", "cell", "vectors"],
         )
 
-    return extent
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+        for batch in batches:
+            rows = zip(batch.column("cell").to_pylist(), batch.column("row").to_pylist(), batch.column("vector").to_pylist())
+            for deal, row in zip(batch.column("deal").to_pylist(), rows):
+                if len(held) >= block or deal != last and 2 * len(held) >= block:
+                    yield made(held)
+                    held = []
+                held.append(row)
+                last = deal
+        if held:
+            yield made(held)
 
+    return frugal(blocks)
 
-def _deal(geometry: Geometry, parts: np.ndarray):
-    """Send each row to the pairs of blocks in which it may link."""
-    first = np.concatenate([[0], np.cumsum(parts)])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                held = part.column("unit").to_pylist()
-                units = np.frombuffer(b"".join(held)).reshape(part.num_rows, -1)
-                own = part.column("cell").to_numpy()
-                block = first[own] + part.column("spot").to_numpy() % parts[own]
-                near = geometry.reach(units @ geometry.centres.T, own)
-                row, cell = np.nonzero(near)
-                count = parts[cell]
-                at = np.repeat(np.arange(len(row)), count)
-                other = first[cell][at] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                row = row[at]
-                mine = block[row]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.minimum(mine, other)),
-                        pa.array(np.maximum(mine, other)),
-                        pa.array(mine > other),
-                        part.column("row").take(pa.array(row)),
-                        part.column("unit").take(pa.array(row)),
-                    ],
-                    ["a", "b", "second", "row", "unit"],
-                )
-
-    return deal
-
-
-def link_block(first: np.ndarray, second: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Number of links, and the root of the local component, of each row of both blocks (rows of ``second`` follow
-    those of ``first``; None: within ``first``)."""
-    m = len(first)
-    other = first if second is None else second
-    shift = 0 if second is None else m
-    size = shift + len(other)
-    counts, label = np.zeros(size, np.int64), np.arange(size)
-    for start in range(0, m, TILE):
-        linked = first[start : start + TILE] @ other.T >= cosine
-        if second is None:
-            rows = np.arange(start, min(start + TILE, m))
-            linked[rows - start, rows] = False
-        counts[start : start + len(linked)] += linked.sum(axis=1)
-        if second is not None:
-            counts[m:] += linked.sum(axis=0)
-        for i in np.flatnonzero(linked.any(axis=1)).tolist():
-            near = np.append(np.flatnonzero(linked[i]) + shift, start + i)
-            roots = np.unique(label[near])
-            if len(roots) > 1:
-                label[np.isin(label, roots)] = roots[0]
-    return counts, label
-
-
-def _links(cosine: float):
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least shifts of each cell over its blocks."""
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for cell, least in zip(batch.column("cell").to_pylist(), batch.column("least").to_pylist()):
+            least = np.frombuffer(least, np.float32)
+            found[cell] = np.minimum(found[cell], least) if cell in found else least
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["cell", "least"])
+
+
+class Block:
+    """A block ready to be compared: unit rows in single precision, sorted by cell."""
+
+    def __init__(self, block: int, rows: pa.Buffer, cell: pa.Buffer, vectors: pa.Buffer, kind: str, geometry: Geometry):
+        self.block, self.rows, own = block, np.frombuffer(rows, np.int64).copy(), np.frombuffer(cell, np.int32)
+        x = unit_rows(vectors, len(own), kind)
+        self.raw = np.frombuffer(vectors, kind).reshape(len(own), -1).copy()
+        self.units = x.astype(np.float32)
+        self.cells, self.starts = np.unique(own, return_index=True)
+        self.ends = np.append(self.starts[1:], len(own))
+        self.own = np.einsum("ij,ij->i", self.units, geometry.centres[own])
+        self.ring = geometry.ring(np.minimum.reduceat(self.own, self.starts).astype(np.float64))
+
+    def exact(self, at: np.ndarray) -> np.ndarray:
+        """Rows as doubles of length 1."""
+        x = self.raw[at].astype(np.float64)
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        return x
+
+    @property
+    def nbytes(self) -> int:
+        return self.raw.nbytes + self.units.nbytes + 20 * len(self.rows)
+
+
+class Forest:
+    """Numbers of links, and a spanning forest of the links, of the rows of all blocks that a task compares."""
+
+    def __init__(self):
+        self.first: dict[int, int] = {}
+        self.rows: list[np.ndarray] = []
+        self.counts, self.root = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, block: Block) -> int:
+        if block.block not in self.first:
+            size = len(self.root)
+            self.first[block.block] = size
+            self.rows.append(block.rows)
+            self.counts = np.append(self.counts, np.zeros(len(block.rows), np.int64))
+            self.root = np.append(self.root, np.arange(size, size + len(block.rows)))
+        return self.first[block.block]
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        np.add.at(self.counts, a, 1)
+        np.add.at(self.counts, b, 1)
+        while True:
+            x, y = self.root[a], self.root[b]
+            apart = x != y
+            if not apart.any():
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+            while True:
+                above = self.root[self.root]
+                if (above == self.root).all():
+                    break
+                self.root = above
+
+    def found(self) -> pa.RecordBatch:
+        rows = np.concatenate([np.zeros(0, np.int64), *self.rows])
+        some = np.flatnonzero(self.counts)
+        return pa.RecordBatch.from_arrays([pa.array(rows[some]), pa.array(self.counts[some]), pa.array(rows[self.root[some]])], ["row", "n", "root"])
+
+
+def _decide(first: Block, a: np.ndarray, second: Block, b: np.ndarray, near: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``a`` and ``b`` that are linked, of those marked in ``near``, by products in double."""
+    i, j = np.nonzero(near)
+    if len(i) * 8 > near.size:
+        i, j = np.nonzero(near & (first.exact(a) @ second.exact(b).T >= cosine))
+        return a[i], b[j]
+    step = max(1, GATHER // first.raw.shape[1])
+    linked = [np.einsum("ij,ij->i", first.exact(a[i[s : s + step]]), second.exact(b[j[s : s + step]])) >= cosine for s in range(0, len(i), step)]
+    linked = np.concatenate(linked)
+    return a[i[linked]], b[j[linked]]
+
+
+class Scratch:
+    """Arrays that are written again and again; fresh ones of this size would be given back to the system each time."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def get(self, name: str, rows: int, columns: int) -> np.ndarray:
+        if name not in self.held or len(self.held[name]) < rows * columns:
+            self.held[name] = np.empty(rows * columns, np.float32)
+        return self.held[name][: rows * columns].reshape(rows, columns)
+
+    def take(self, name: str, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.take(rows, at, axis=0, out=self.get(name, len(at), rows.shape[1]), mode="clip")
+
+
+def compare(first: Block, second: Block, geometry: Geometry, forest: Forest, scratch: Scratch) -> None:
+    """Find the links between the rows of two blocks, or within one."""
+    at, to = forest.add(first), forest.add(second)
+    same = first.block == second.block
+    towards = first.own[None] - geometry.centres[second.cells] @ first.units.T
+    back = second.own[None] - geometry.centres[first.cells] @ second.units.T
+    limits = geometry.limit(first.cells[:, None], second.cells[None])
+    closest = np.minimum.reduceat(towards, first.starts, axis=1).T, np.minimum.reduceat(back, second.starts, axis=1)
+    floor = np.float32(geometry.cosine - geometry.margin)
+    for p, q in np.argwhere(closest[0] + closest[1] <= limits).tolist():
+        if same and p > q:
+            continue
+        inside = same and p == q
+        shift, other = towards[q, first.starts[p] : first.ends[p]], back[p, second.starts[q] : second.ends[q]]
+        limit = np.float32(limits[p, q])
+        if inside:
+            a = b = np.arange(len(shift))
+        else:
+            a = np.flatnonzero((shift <= limit - closest[1][p, q]) & (first.own[first.starts[p] : first.ends[p]] - shift >= second.ring[q]))
+            b = np.flatnonzero((other <= limit - closest[0][p, q]) & (second.own[second.starts[q] : second.ends[q]] - other >= first.ring[p]))
+            if not len(a) or not len(b):
+                continue
+            a, b = a[np.argsort(shift[a])], b[np.argsort(other[b])]
+            far = np.searchsorted(other[b], limit - shift[a[::TILE]] + np.float32(geometry.slack), side="right").tolist()
+            if not far[0]:
+                continue
+        a, b = a + first.starts[p], b + second.starts[q]
+        x, y = scratch.take("x", first.units, a), scratch.take("y", second.units, b if inside else b[: far[0]])
+        for k, start in enumerate(range(0, len(a), TILE)):
+            i, j = a[start : start + TILE], b[start:] if inside else b[: far[k]]
+            if not len(j):
+                break  # the rows that follow are farther still
+            product = np.matmul(x[start : start + TILE], (y[start:] if inside else y[: far[k]]).T, out=scratch.get("product", len(i), len(j)))
+            if inside:
+                product[np.tril_indices(len(i), 0, len(j))] = -2
+            if product.max() >= floor:
+                i, j = _decide(first, i, second, j, product >= floor, geometry.cosine)
+                if len(i):
+                    forest.link(i + at, j + to)
+
+
+def _links(geometry: Geometry, kind: str):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        key = None
-
-        def done() -> pa.RecordBatch:
-            sides = [[x for x in held if x[0] is s] for s in (False, True)]
-            arrays = [np.frombuffer(b"".join(x[2] for x in side)).reshape(len(side), -1) if side else None for side in sides]
-            rows = np.array([x[1] for side in sides for x in side])
-            if key[0] == key[1]:
-                counts, label = link_block(arrays[0], None, cosine)
-            elif arrays[0] is None or arrays[1] is None:
-                counts, label = np.zeros(len(rows), np.int64), np.arange(len(rows))
-            else:
-                counts, label = link_block(arrays[0], arrays[1], cosine)
-            some = np.flatnonzero(counts)
-            return pa.RecordBatch.from_arrays([pa.array(rows[some]), pa.array(counts[some]), pa.array(rows[label[some]])], ["row", "n", "root"])
+        forest, scratch, held = Forest(), Scratch(), {}
+
+        def block(batch: pa.RecordBatch, i: int, side: str) -> Block:
+            name = batch.column(f"{side}_block")[i].as_py()
+            if name not in held:
+                if sum(x.nbytes for x in held.values()) > HELD_BYTES:
+                    held.clear()
+                held[name] = Block(name, *(batch.column(f"{side}_{c}")[i].as_buffer() for c in ("rows", "cell", "vectors")), kind, geometry)
+            return held[name]
 
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            rest = zip(batch.column("second").to_pylist(), batch.column("row").to_pylist(), batch.column("unit").to_pylist())
-            for x, y, row in zip(a, b, rest):
-                if (x, y) != key and held:
-                    yield done()
-                    held = []
-                key = x, y
-                held.append(row)
-        if held:
-            yield done()
-
-    return links
-
-
-def _linked(vectors: DataFrame, cosine: float, block: int) -> DataFrame:
-    """``row``, ``n`` and ``root`` for each row and pair of blocks; ``vectors`` (one size): ``row``, ``unit``."""
-    n = vectors.count()
-    picked = vectors.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("unit")
-    sample = np.array([np.frombuffer(r.unit) for r in picked.collect()])
-    centres = fit_centres(sample, max(1, math.ceil(n / block)))
-    spot = F.pmod(F.xxhash64("row"), F.lit(1 << 40)).alias("spot")
-    celled = pin(vectors.select("row", "unit").mapInArrow(_cells(centres), "row long, unit binary, cell int").select("row", "unit", "cell", spot))
-    extents = celled.mapInArrow(_extent(centres), "cell int, n long, low double, high double, planes array<double>").collect()
-    k = len(centres)
-    planes, low, high, sizes = np.full((k, k), np.inf), np.full(k, np.inf), np.full(k, -np.inf), np.zeros(k, np.int64)
-    for e in extents:
-        planes[e.cell] = np.minimum(planes[e.cell], e.planes)
-        low[e.cell], high[e.cell] = min(low[e.cell], e.low), max(high[e.cell], e.high)
-        sizes[e.cell] += e.n
-    parts = np.maximum(1, -(-sizes // block))
-    dealt = celled.mapInArrow(_deal(Geometry(centres, planes, low, high, cosine), parts), "a long, b long, second boolean, row long, unit binary")
-    blocks = int(parts.sum())
-    units = dealt.repartition(max(8, min(blocks * (blocks + 1) // 2, 10_000)), "a", "b").sortWithinPartitions("a", "b")
-    return units.mapInArrow(_links(cosine), "row long, n long, root long")
+            for i in range(batch.num_rows):
+                first = block(batch, i, "a")
+                compare(first, block(batch, i, "b"), geometry, forest, scratch)
+        yield forest.found()
+
+    return frugal(links)
+
+
+def _reach(blocks: DataFrame, geometry: Geometry) -> DataFrame:
+    """``block`` and ``reach``: a bit for each cell that holds rows to which rows of the block may link."""
+    k = len(geometry.centres)
+    least = np.full((k, k), np.inf, np.float32)
+    pairs = blocks.select(F.explode(F.arrays_zip(F.col("cells").alias("cell"), "least")).alias("x")).select("x.cell", "x.least")
+    for r in pairs.repartition("cell").mapInArrow(_least, "cell int, least binary").collect():
+        least[r.cell] = np.frombuffer(r.least, np.float32)
+    cells = np.arange(k)
+    near = least + least.T <= geometry.limit(cells[:, None], cells[None])
+    near = np.pad(near, ((0, 0), (0, -k % 64)))
+    reach = [(r.block, np.packbits(near[r.cells].any(axis=0), bitorder="little").view(np.int64).tolist()) for r in blocks.select("block", "cells").collect()]
+    return blocks.sparkSession.createDataFrame(reach, "block long, reach array<long>")
+
+
+def _linked(vectors: DataFrame, n: int, width: int, kind: str, cosine: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """``row``, ``n`` and ``root`` for rows with links, by task; and the table of blocks that they are read from.
+    ``vectors`` (``n`` of one length): ``row``, ``vector``."""
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * width)))
+    spot = F.pmod(F.xxhash64("row"), F.lit(1 << 40))
+    picked = vectors.where(spot < min(1 << 40, (most << 40) // n)).select("row", "vector") if n > most else vectors
+    held = [r.vector for r in sorted(picked.collect(), key=lambda r: r.row)] or [vectors.first().vector]
+    sample = unit_rows(list(map(bytes, held)), len(held), kind).astype(np.float32)
+    geometry = Geometry(fit_centres(sample, min(CELLS, len(sample), max(1, math.ceil(GROUP * n / block)))), cosine)
+    share = np.bincount(geometry.assign(sample) // GROUP, minlength=-(-len(geometry.centres) // GROUP)) / len(sample)
+    deals = np.maximum(1, np.ceil(share * n / block)).astype(np.int64)
+    dealt = vectors.mapInArrow(_dealt(geometry, deals, kind), "row long, vector binary, cell int, deal long")
+    dealt = dealt.repartition(max(8, min(int(deals.sum()) // 4, 10_000)), "deal").sortWithinPartitions("deal")
+    blocks = pin(dealt.mapInArrow(_blocks(geometry, block, kind), "block long, cells array<int>, least array<binary>, rows binary, cell binary, vectors binary"))
+    parts = max(math.ceil(n * width * np.dtype(kind).itemsize / PART_BYTES), math.ceil(math.sqrt(TASKS * blocks.sparkSession.sparkContext.defaultParallelism)))
+    sides = [blocks.select(*(F.col(c).alias(f"{s}_{c}") for c in ("block", "cells", "rows", "cell", "vectors"))).coalesce(parts) for s in "ab"]
+    first = sides[0].join(F.broadcast(_reach(blocks, geometry).withColumnRenamed("block", "a_block")), "a_block").drop("a_cells")
+    # of the two orders of a pair one is taken, either as often as the other
+    once = "a_block = b_block or ((a_block ^ b_block) & 1 = 0) = (a_block < b_block)"
+    near = "exists(b_cells, c -> getbit(reach[cast(c div 64 as int)], c % 64) = 1)"
+    pairs = first.hint("shuffle_replicate_nl").join(sides[1], F.expr(f"({once}) and {near}")).drop("reach", "b_cells")
+    return pairs.mapInArrow(_links(geometry, kind), "row long, n long, root long"), blocks
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` (smallest id reachable by links) and ``kept`` of every vector."""
-    rows = pin(embeddings.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding"))
-    usable = pin(rows.where("embedding is not null").select("row", "embedding").mapInArrow(_usable, "row long, size int, unit binary"))
-    found = None
-    for size in sorted(r["size"] for r in usable.select("size").distinct().collect()):
-        part = _linked(usable.where(F.col("size") == size), cosine, block)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], "row long, n long, root long")
+    bound_batches(embeddings.sparkSession)
+    held = embeddings.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding")
+    kind = "f4" if held.schema["embedding"].dataType.elementType == T.FloatType() else "f8"
+    schema = T.StructType([*held.schema.fields[:2], T.StructField("size", T.IntegerType()), T.StructField("vector", T.BinaryType())])
+    rows = pin(held.mapInArrow(_packed(kind), schema))
+    sizes = rows.where("size is not null").groupBy("size").count().orderBy("size").collect()
+    found, blocks = rows.sparkSession.createDataFrame([], "row long, n long, root long"), []
+    for r in sizes:
+        part, table = _linked(rows.where(F.col("size") == r["size"]).select("row", "vector"), r["count"], r["size"], kind, cosine, block)
+        found = found.unionByName(part)
+        blocks.append(table)
     found = pin(found)
+    unpin(*blocks)
     counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
     labels = components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
     ids = rows.select("row", "vec_id").join(labels, rows.row == labels.node, "left").drop("node")

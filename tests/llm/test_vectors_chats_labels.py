@@ -50,6 +50,40 @@ def test_embedding_links(spark, block):
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embedding_links_of_singles(spark):
+    rng = np.random.default_rng(8)
+    rows = [rng.normal(size=16) for _ in range(60)]
+    for centre in rows[:5]:  # cosines just above and just below the limit
+        side = rng.normal(size=16)
+        side -= (side @ centre) / (centre @ centre) * centre
+        side *= np.linalg.norm(centre) / np.linalg.norm(side)
+        rows += [c * centre + np.sqrt(1 - c * c) * side for c in (0.9499, 0.949999, 0.950001, 0.9501)]
+    rows += [rows[5]] * 40 + [rows[6] * 1e-38, rows[6] * 1e36, -rows[6]]
+    rows = [(i % 90, np.asarray(r, np.float32).tolist(), i) for i, r in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "vec_id int, embedding array<float>, label int").repartition(3)
+    found = embeddings.near_duplicates(frame, block=16)
+    assert found.schema["vec_id"].dataType.simpleString() == "int"
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found.collect()) == brute_links(rows)
+
+
+def test_embeddings_are_shuffled_once(spark):
+    """What shuffles write does not grow with the number of blocks that a vector is compared with."""
+
+    def written():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle"))
+
+    rng = np.random.default_rng(9)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(3000, 64)))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4).cache()
+    assert frame.count() == len(rows)
+    before = written()
+    found = embeddings.near_duplicates(frame, block=256)
+    assert written() - before < 4 * 3000 * 64 * 8
+    assert found.where("n_links = 0 and component_id = vec_id and kept").count() == len(rows)
+    frame.unpersist()
+
+
 def test_chats_become_legal(spark):
     rng = random.Random(3)
     schema = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").schema
