@@ -4,8 +4,8 @@ Vectors are linked if their cosine, in double precision, is ``COSINE`` or more.
 hold null or non-finite components link with nothing; nor do vectors of different length link. Repeated rows are
 vectors of their own. A null ``vec_id`` is a vector, but never names a component that has another id.
 
-1. Centres are fitted on a sample of at most ``SAMPLE`` vectors; every vector is assigned to its nearest centre.
-   There is a cell for about an eighth of ``BLOCK`` vectors, up to ``CELLS`` of them. Neighbouring cells are shuffled
+1. Centres are fitted on a sample of about ``SAMPLE`` vectors; every vector is assigned to its nearest centre.
+   There is a cell for about a sixteenth of ``BLOCK`` vectors, up to ``CELLS`` of them. Neighbouring cells are shuffled
    together once, and written as blocks of at most ``BLOCK`` vectors; a cell with more is dealt out by a hash.
 2. Pairs of blocks meet by a Cartesian product that reads the written table again for each of its parts, so a vector
    is stored once however many others it has to be compared with. Block pairs without cells in reach are left out.
@@ -35,14 +35,14 @@ from .components import components
 from .textblocks import bound_batches, frugal, mix
 
 COSINE = 0.95
-#: Vectors of a block, rows of one product, vectors and bytes that fit the centres, rounds of fitting.
-BLOCK, TILE, SAMPLE, SAMPLE_BYTES, ROUNDS = 8192, 256, 16_384, 64 << 20, 8
+#: Vectors of a block at most, rows of one product, vectors and bytes that fit the centres, rounds of fitting.
+BLOCK, TILE, SAMPLE, SAMPLE_BYTES, ROUNDS = 16_384, 128, 16_384, 64 << 20, 8
 #: Most cells, and cells that are dealt together.
-CELLS, GROUP = 2048, 8
+CELLS, GROUP = 2048, 16
 #: Bytes of blocks that a task of the product holds, tasks for each core, bytes of prepared blocks in a Python worker.
 PART_BYTES, TASKS, HELD_BYTES = 32 << 20, 8, 48 << 20
-#: Values gathered at once where links are decided in double.
-GATHER = 1 << 21
+#: Values gathered at once where links are decided in double, and bytes of a block.
+GATHER, BLOCK_BYTES = 1 << 21, 8 << 20
 
 
 def usable_rows(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +91,9 @@ def fit_centres(sample: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     centres = sample[np.linspace(0, len(sample) - 1, k).astype(int)].copy()
     for _ in range(rounds):
         total = np.zeros_like(centres)
-        np.add.at(total, (sample @ centres.T).argmax(axis=1), sample)
+        for start in range(0, len(sample), 2048):
+            part = sample[start : start + 2048]
+            np.add.at(total, (part @ centres.T).argmax(axis=1), part)
         length = np.sqrt(np.einsum("ij,ij->i", total, total))
         centres[length > 0] = total[length > 0] / length[length > 0, None]
     near, order = centres @ centres.T, [0]
@@ -110,17 +112,17 @@ class Geometry:
         width = centres.shape[1]
         #: More than a product of two vectors, and more than a sum of four such products, can be off by.
         self.margin, self.slack = (width + 8) * 2.0**-23, 8 * (width + 8) * 2.0**-23
-        exact = self.centres.astype(np.float64)
-        length = np.einsum("ij,ij->i", exact, exact)
-        self.gap = np.sqrt(np.maximum(length[:, None] + length[None] - 2 * (exact @ exact.T), 0)) + 1e-7
         self.chord, self.angle = math.sqrt(max(2 - 2 * cosine, 0)) + 1e-9, math.acos(max(-1.0, min(1.0, cosine))) + 1e-9
 
     def assign(self, units: np.ndarray) -> np.ndarray:
         return (units @ self.centres.T).argmax(axis=1).astype(np.int32)
 
-    def limit(self, a, b):
-        """What the two rows' shifts (product with the own centre less that with the other's) add up to at most."""
-        return self.chord * self.gap[a, b] + self.slack
+    def limits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What linked rows' shifts (product with the own centre less that with the other's) add up to at most, for each
+        of the cells ``a`` and each of ``b``."""
+        x, y = self.centres[a].astype(np.float64), self.centres[b].astype(np.float64)
+        squares = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y)[None] - 2 * (x @ y.T)
+        return self.chord * (np.sqrt(np.maximum(squares, 0)) + 1e-7) + self.slack
 
     def ring(self, low: np.ndarray) -> np.ndarray:
         """Least product with a cell's centre of rows that link to its members, whose least product is ``low``."""
@@ -207,16 +209,17 @@ class Block:
         self.ends = np.append(self.starts[1:], len(own))
         self.own = np.einsum("ij,ij->i", self.units, geometry.centres[own])
         self.ring = geometry.ring(np.minimum.reduceat(self.own, self.starts).astype(np.float64))
+        self.doubles: np.ndarray | None = None
 
-    def exact(self, at: np.ndarray) -> np.ndarray:
-        """Rows as doubles of length 1."""
-        x = self.raw[at].astype(np.float64)
-        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-        return x
+    def exact(self, at: np.ndarray, many: bool = False) -> np.ndarray:
+        """Rows as doubles of length 1; ``many``: all of them are kept for the next time."""
+        if many and self.doubles is None:
+            self.doubles = unit_rows(pa.py_buffer(self.raw), len(self.raw), self.raw.dtype.str)
+        return unit_rows(pa.py_buffer(self.raw[at]), len(at), self.raw.dtype.str) if self.doubles is None else self.doubles[at]
 
     @property
     def nbytes(self) -> int:
-        return self.raw.nbytes + self.units.nbytes + 20 * len(self.rows)
+        return self.raw.nbytes + self.units.nbytes + 20 * len(self.rows) + (0 if self.doubles is None else self.doubles.nbytes)
 
 
 class Forest:
@@ -227,47 +230,70 @@ class Forest:
         self.rows: list[np.ndarray] = []
         self.counts, self.root = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, block: Block) -> int:
+    def add(self, block: Block) -> None:
         if block.block not in self.first:
             size = len(self.root)
             self.first[block.block] = size
             self.rows.append(block.rows)
             self.counts = np.append(self.counts, np.zeros(len(block.rows), np.int64))
             self.root = np.append(self.root, np.arange(size, size + len(block.rows)))
-        return self.first[block.block]
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Links between rows ``a`` and ``b``, each pair once."""
         np.add.at(self.counts, a, 1)
         np.add.at(self.counts, b, 1)
+        self.join(a, b)
+
+    def link_many(self, a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> None:
+        """Links between different rows ``a`` and different rows ``b``."""
+        self.counts[a] += linked.sum(axis=1)
+        self.counts[b] += linked.sum(axis=0)
+        some = linked.any(axis=1)
+        self.join(a[some], b[linked[some].argmax(axis=1)])
+        some = linked.any(axis=0)
+        self.join(a[linked[:, some].argmax(axis=0)], b[some])
+        i, j = np.nonzero(linked & (self.find(a)[:, None] != self.find(b)[None]))
+        self.join(a[i], b[j])
+
+    def find(self, at: np.ndarray) -> np.ndarray:
+        root = self.root[at]
         while True:
-            x, y = self.root[a], self.root[b]
+            above = self.root[root]
+            if (above == root).all():
+                break
+            root = above
+        self.root[at] = root
+        return root
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.find(a), self.find(b)
             apart = x != y
             if not apart.any():
                 return
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
             np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                above = self.root[self.root]
-                if (above == self.root).all():
-                    break
-                self.root = above
 
     def found(self) -> pa.RecordBatch:
         rows = np.concatenate([np.zeros(0, np.int64), *self.rows])
         some = np.flatnonzero(self.counts)
-        return pa.RecordBatch.from_arrays([pa.array(rows[some]), pa.array(self.counts[some]), pa.array(rows[self.root[some]])], ["row", "n", "root"])
+        root = self.find(some)
+        return pa.RecordBatch.from_arrays([pa.array(rows[some]), pa.array(self.counts[some]), pa.array(rows[root])], ["row", "n", "root"])
 
 
-def _decide(first: Block, a: np.ndarray, second: Block, b: np.ndarray, near: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows ``a`` and ``b`` that are linked, of those marked in ``near``, by products in double."""
+def _decide(first: Block, a: np.ndarray, second: Block, b: np.ndarray, near: np.ndarray, cosine: float, forest: Forest) -> None:
+    """Link those of rows ``a`` and ``b`` that are marked in ``near``, if their products in double say so."""
+    at, to = forest.first[first.block], forest.first[second.block]
+    if np.count_nonzero(near) * 8 > near.size:
+        near &= first.exact(a, True) @ second.exact(b, True).T >= cosine
+        forest.link_many(a + at, b + to, near)
+        return
     i, j = np.nonzero(near)
-    if len(i) * 8 > near.size:
-        i, j = np.nonzero(near & (first.exact(a) @ second.exact(b).T >= cosine))
-        return a[i], b[j]
     step = max(1, GATHER // first.raw.shape[1])
-    linked = [np.einsum("ij,ij->i", first.exact(a[i[s : s + step]]), second.exact(b[j[s : s + step]])) >= cosine for s in range(0, len(i), step)]
-    linked = np.concatenate(linked)
-    return a[i[linked]], b[j[linked]]
+    for start in range(0, len(i), step):
+        x, y = a[i[start : start + step]], b[j[start : start + step]]
+        linked = np.einsum("ij,ij->i", first.exact(x), second.exact(y)) >= cosine
+        forest.link(x[linked] + at, y[linked] + to)
 
 
 class Scratch:
@@ -287,11 +313,12 @@ class Scratch:
 
 def compare(first: Block, second: Block, geometry: Geometry, forest: Forest, scratch: Scratch) -> None:
     """Find the links between the rows of two blocks, or within one."""
-    at, to = forest.add(first), forest.add(second)
+    forest.add(first)
+    forest.add(second)
     same = first.block == second.block
     towards = first.own[None] - geometry.centres[second.cells] @ first.units.T
     back = second.own[None] - geometry.centres[first.cells] @ second.units.T
-    limits = geometry.limit(first.cells[:, None], second.cells[None])
+    limits = geometry.limits(first.cells, second.cells)
     closest = np.minimum.reduceat(towards, first.starts, axis=1).T, np.minimum.reduceat(back, second.starts, axis=1)
     floor = np.float32(geometry.cosine - geometry.margin)
     for p, q in np.argwhere(closest[0] + closest[1] <= limits).tolist():
@@ -321,9 +348,7 @@ def compare(first: Block, second: Block, geometry: Geometry, forest: Forest, scr
             if inside:
                 product[np.tril_indices(len(i), 0, len(j))] = -2
             if product.max() >= floor:
-                i, j = _decide(first, i, second, j, product >= floor, geometry.cosine)
-                if len(i):
-                    forest.link(i + at, j + to)
+                _decide(first, i, second, j, product >= floor, geometry.cosine, forest)
 
 
 def _links(geometry: Geometry, kind: str):
@@ -354,22 +379,25 @@ def _reach(blocks: DataFrame, geometry: Geometry) -> DataFrame:
     pairs = blocks.select(F.explode(F.arrays_zip(F.col("cells").alias("cell"), "least")).alias("x")).select("x.cell", "x.least")
     for r in pairs.repartition("cell").mapInArrow(_least, "cell int, least binary").collect():
         least[r.cell] = np.frombuffer(r.least, np.float32)
-    cells = np.arange(k)
-    near = least + least.T <= geometry.limit(cells[:, None], cells[None])
-    near = np.pad(near, ((0, 0), (0, -k % 64)))
-    reach = [(r.block, np.packbits(near[r.cells].any(axis=0), bitorder="little").view(np.int64).tolist()) for r in blocks.select("block", "cells").collect()]
-    return blocks.sparkSession.createDataFrame(reach, "block long, reach array<long>")
+    near = np.zeros((k, k + -k % 64), bool)
+    for start in range(0, k, 256):
+        cells = np.arange(start, min(start + 256, k))
+        near[cells, :k] = least[cells] + least[:, cells].T <= geometry.limits(cells, np.arange(k))
+    held = blocks.select("block", "cells").collect()
+    reach = [np.packbits(near[r.cells].any(axis=0), bitorder="little").view(np.int64).tolist() for r in held]
+    return blocks.sparkSession.createDataFrame(pa.table({"block": pa.array([r.block for r in held], pa.int64()), "reach": pa.array(reach, pa.list_(pa.int64()))}))
 
 
 def _linked(vectors: DataFrame, n: int, width: int, kind: str, cosine: float, block: int) -> tuple[DataFrame, DataFrame]:
     """``row``, ``n`` and ``root`` for rows with links, by task; and the table of blocks that they are read from.
     ``vectors`` (``n`` of one length): ``row``, ``vector``."""
+    block = max(1, min(block, BLOCK_BYTES // (width * np.dtype(kind).itemsize)))
     most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * width)))
     spot = F.pmod(F.xxhash64("row"), F.lit(1 << 40))
     picked = vectors.where(spot < min(1 << 40, (most << 40) // n)).select("row", "vector") if n > most else vectors
     held = [r.vector for r in sorted(picked.collect(), key=lambda r: r.row)] or [vectors.first().vector]
     sample = unit_rows(list(map(bytes, held)), len(held), kind).astype(np.float32)
-    geometry = Geometry(fit_centres(sample, min(CELLS, len(sample), max(1, math.ceil(GROUP * n / block)))), cosine)
+    geometry = Geometry(fit_centres(sample, max(1, min(CELLS, len(sample) // 8, math.ceil(GROUP * n / block)))), cosine)
     share = np.bincount(geometry.assign(sample) // GROUP, minlength=-(-len(geometry.centres) // GROUP)) / len(sample)
     deals = np.maximum(1, np.ceil(share * n / block)).astype(np.int64)
     dealt = vectors.mapInArrow(_dealt(geometry, deals, kind), "row long, vector binary, cell int, deal long")
@@ -393,8 +421,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int =
     schema = T.StructType([*held.schema.fields[:2], T.StructField("size", T.IntegerType()), T.StructField("vector", T.BinaryType())])
     rows = pin(held.mapInArrow(_packed(kind), schema))
     sizes = rows.where("size is not null").groupBy("size").count().orderBy("size").collect()
-    found, blocks = rows.sparkSession.createDataFrame([], "row long, n long, root long"), []
-    for r in sizes:
+    found, blocks = rows.sparkSession.createDataFrame(pa.table({c: pa.array([], pa.int64()) for c in ("row", "n", "root")})), []
+    for r in (r for r in sizes if r["count"] > 1):
         part, table = _linked(rows.where(F.col("size") == r["size"]).select("row", "vector"), r["count"], r["size"], kind, cosine, block)
         found = found.unionByName(part)
         blocks.append(table)
