@@ -13,9 +13,10 @@ vectors of their own. A null ``vec_id`` is a vector, but never names a component
    more than their distance along the line between them, and the angle of either to the other's centre must be within
    reach of the other cell's ring. So no link is lost between cells. Tight groups are compared with their own cell
    and few others; vectors without any structure have to be compared with a good part of all.
-4. Products are made in single precision and, within its rounding error of the limit, decided in double. A task adds
-   up each row's number of links and keeps a spanning forest of the links, never the links themselves. Forests are
-   joined by stars.
+4. Products are made in single precision of the main directions of the sample, where the lengths of what is left bound
+   the rest; what comes within rounding error of the limit is decided in double over all of the vector. A task adds up
+   each row's number of links and keeps a spanning forest of the links, never the links themselves. Forests are joined
+   by stars.
 """
 
 from __future__ import annotations
@@ -41,6 +42,9 @@ BLOCK, TILE, SAMPLE, SAMPLE_BYTES, ROUNDS = 16_384, 128, 16_384, 64 << 20, 8
 CELLS, GROUP = 2048, 16
 #: Bytes of blocks that a task of the product holds, tasks for each core, bytes of prepared blocks in a Python worker.
 PART_BYTES, TASKS, HELD_BYTES = 32 << 20, 8, 48 << 20
+#: Numbers of main directions to choose from, the share of unlinked pairs that may pass them, rows to find it out, and
+#: pairs of a product that are decided one by one.
+DIRECTIONS, PASSING, TRIED, FEW = (8, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256), 1e-8, 2048, 64
 #: Values gathered at once where links are decided in double, and bytes of a block.
 GATHER, BLOCK_BYTES = 1 << 21, 8 << 20
 
@@ -107,13 +111,51 @@ def fit_centres(sample: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 class Geometry:
     """What rules a link out between rows of two cells, from products in single precision."""
 
-    def __init__(self, centres: np.ndarray, cosine: float):
-        self.centres, self.cosine = centres.astype(np.float32), cosine
+    def __init__(self, centres: np.ndarray, cosine: float, sample: np.ndarray | None = None):
+        self.centres, self.cosine, self.basis = centres.astype(np.float32), cosine, None
         width = centres.shape[1]
         #: More than a product of two vectors, and more than a sum of four such products, can be off by.
         self.margin, self.slack = (width + 8) * 2.0**-23, 8 * (width + 8) * 2.0**-23
         self.chord, self.angle = math.sqrt(max(2 - 2 * cosine, 0)) + 1e-9, math.acos(max(-1.0, min(1.0, cosine))) + 1e-9
 
+        if sample is not None:
+            self.basis = self.directions(sample)
+
+    def directions(self, sample: np.ndarray) -> np.ndarray | None:
+        """The fewest main directions, up to half of all, whose bounds let hardly any unlinked pair pass."""
+        most = min(sample.shape[1] // 2, DIRECTIONS[-1])
+        if most < DIRECTIONS[0]:
+            return None
+        basis = np.random.default_rng(0).normal(size=(sample.shape[1], most)).astype(np.float32)
+        for _ in range(ROUNDS // 2):
+            basis = np.linalg.qr((sample.T @ (sample @ basis)).astype(np.float64))[0].astype(np.float32)
+        spread = (sample @ basis).astype(np.float64)
+        basis = np.linalg.qr(basis @ np.linalg.eigh(spread.T @ spread)[1][:, ::-1])[0].astype(np.float32)
+        some = sample[np.linspace(0, len(sample) - 1, min(len(sample), TRIED)).astype(int)]
+        linked = some @ some.T >= self.cosine
+        for m in (m for m in DIRECTIONS if m <= most):
+            self.basis = np.ascontiguousarray(basis[:, :m])
+            low = self.bounds(some)
+            if np.count_nonzero((low @ low.T >= self.floor()) & ~linked) <= PASSING * linked.size:
+                return self.basis
+        return None
+
+    def loose(self) -> float:
+        """More than the squared length of a row's main part, and a product of two such parts, can be off by."""
+        return 4 * math.sqrt(self.basis.shape[1] + 1) * (len(self.basis) + 8) * 2.0**-24
+
+    def bounds(self, units: np.ndarray) -> np.ndarray:
+        """Rows whose products are no less than those of ``units``: the main part and the length of the rest."""
+        if self.basis is None:
+            return units
+        main = units @ self.basis
+        rest = np.sqrt(np.maximum(1 + self.loose() - np.einsum("ij,ij->i", main, main), 0))
+        return np.concatenate([main, rest[:, None].astype(np.float32)], axis=1)
+
+    def floor(self) -> np.float32:
+        """What the product of linked rows' bounds is at least."""
+        return np.float32(self.cosine - self.margin - (0 if self.basis is None else self.loose()))
+
     def assign(self, units: np.ndarray) -> np.ndarray:
         return (units @ self.centres.T).argmax(axis=1).astype(np.int32)
 
@@ -205,6 +247,7 @@ class Block:
         x = unit_rows(vectors, len(own), kind)
         self.raw = np.frombuffer(vectors, kind).reshape(len(own), -1).copy()
         self.units = x.astype(np.float32)
+        self.bounds = geometry.bounds(self.units)
         self.cells, self.starts = np.unique(own, return_index=True)
         self.ends = np.append(self.starts[1:], len(own))
         self.own = np.einsum("ij,ij->i", self.units, geometry.centres[own])
@@ -219,7 +262,7 @@ class Block:
 
     @property
     def nbytes(self) -> int:
-        return self.raw.nbytes + self.units.nbytes + 20 * len(self.rows) + (0 if self.doubles is None else self.doubles.nbytes)
+        return self.raw.nbytes + self.units.nbytes + self.bounds.nbytes + 20 * len(self.rows) + (0 if self.doubles is None else self.doubles.nbytes)
 
 
 class Forest:
@@ -293,7 +336,8 @@ def _decide(first: Block, a: np.ndarray, second: Block, b: np.ndarray, near: np.
     for start in range(0, len(i), step):
         x, y = a[i[start : start + step]], b[j[start : start + step]]
         linked = np.einsum("ij,ij->i", first.exact(x), second.exact(y)) >= cosine
-        forest.link(x[linked] + at, y[linked] + to)
+        if linked.any():
+            forest.link(x[linked] + at, y[linked] + to)
 
 
 class Scratch:
@@ -320,7 +364,7 @@ def compare(first: Block, second: Block, geometry: Geometry, forest: Forest, scr
     back = second.own[None] - geometry.centres[first.cells] @ second.units.T
     limits = geometry.limits(first.cells, second.cells)
     closest = np.minimum.reduceat(towards, first.starts, axis=1).T, np.minimum.reduceat(back, second.starts, axis=1)
-    floor = np.float32(geometry.cosine - geometry.margin)
+    floor = geometry.floor()
     for p, q in np.argwhere(closest[0] + closest[1] <= limits).tolist():
         if same and p > q:
             continue
@@ -339,7 +383,7 @@ def compare(first: Block, second: Block, geometry: Geometry, forest: Forest, scr
             if not far[0]:
                 continue
         a, b = a + first.starts[p], b + second.starts[q]
-        x, y = scratch.take("x", first.units, a), scratch.take("y", second.units, b if inside else b[: far[0]])
+        x, y = scratch.take("x", first.bounds, a), scratch.take("y", second.bounds, b if inside else b[: far[0]])
         for k, start in enumerate(range(0, len(a), TILE)):
             i, j = a[start : start + TILE], b[start:] if inside else b[: far[k]]
             if not len(j):
@@ -348,7 +392,10 @@ def compare(first: Block, second: Block, geometry: Geometry, forest: Forest, scr
             if inside:
                 product[np.tril_indices(len(i), 0, len(j))] = -2
             if product.max() >= floor:
-                _decide(first, i, second, j, product >= floor, geometry.cosine, forest)
+                near = product >= floor
+                if geometry.basis is not None and np.count_nonzero(near) > FEW:
+                    near &= first.units[i] @ second.units[j].T >= np.float32(geometry.cosine - geometry.margin)
+                _decide(first, i, second, j, near, geometry.cosine, forest)
 
 
 def _links(geometry: Geometry, kind: str):
@@ -397,7 +444,7 @@ def _linked(vectors: DataFrame, n: int, width: int, kind: str, cosine: float, bl
     picked = vectors.where(spot < min(1 << 40, (most << 40) // n)).select("row", "vector") if n > most else vectors
     held = [r.vector for r in sorted(picked.collect(), key=lambda r: r.row)] or [vectors.first().vector]
     sample = unit_rows(list(map(bytes, held)), len(held), kind).astype(np.float32)
-    geometry = Geometry(fit_centres(sample, max(1, min(CELLS, len(sample) // 8, math.ceil(GROUP * n / block)))), cosine)
+    geometry = Geometry(fit_centres(sample, max(1, min(CELLS, len(sample) // 8, math.ceil(GROUP * n / block)))), cosine, sample)
     share = np.bincount(geometry.assign(sample) // GROUP, minlength=-(-len(geometry.centres) // GROUP)) / len(sample)
     deals = np.maximum(1, np.ceil(share * n / block)).astype(np.int64)
     dealt = vectors.mapInArrow(_dealt(geometry, deals, kind), "row long, vector binary, cell int, deal long")

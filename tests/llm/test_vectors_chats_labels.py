@@ -66,6 +66,20 @@ def test_embedding_links_of_singles(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found.collect()) == brute_links(rows)
 
 
+@pytest.mark.parametrize("spread", [1.0, 0.1])
+def test_bounds_of_products(spread):
+    """Products of bounds are never less than the vectors' own, whether the rows differ in a few directions or in all."""
+    rng = np.random.default_rng(10)
+    rows = rng.normal(size=(900, 64)) * np.where(np.arange(64) < 10, 1, spread)
+    rows = np.concatenate([rows, rows[:100] + rng.normal(size=(100, 64)) * 0.2 * spread])
+    units = (rows / np.linalg.norm(rows, axis=1)[:, None]).astype(np.float32)
+    geometry = embeddings.Geometry(embeddings.fit_centres(units, 9), 0.95, units)
+    assert geometry.basis is not None and geometry.basis.shape[1] <= 32
+    bounds, exact = geometry.bounds(units), units.astype(float) @ units.T.astype(float)
+    assert ((bounds @ bounds.T >= geometry.floor()) | (exact < 0.95)).all()
+    assert (bounds @ bounds.T >= exact - geometry.margin - geometry.loose()).all()
+
+
 def test_embeddings_are_shuffled_once(spark):
     """What shuffles write does not grow with the number of blocks that a vector is compared with."""
 
